@@ -48,18 +48,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     return s.select("src_null", "src", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.least(share, F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, key_digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, key_digits: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (and epochs) for every row of docs.
 
     The random key is the MD5 of doc_id, so reruns agree; equal keys are ordered by doc_id and size.
     A null text has size 0, a null doc_id takes part with the key of the empty string, a null source is
     a source of its own (last in order). Repeated rows each count. An empty table gives no rows. Columns
-    other than doc_id, text and source are ignored. key_digits: 16 ** key_digits ranges per source; at
+    other than doc_id, text, source and those in carry are ignored. key_digits: 16 ** key_digits ranges per source; at
     3 digits a range of the largest source of 10 ** 10 documents is about 10 ** 6 narrow rows.
     """
     sized = cut(
         docs.select(
             "doc_id",
+            *carry,
             F.col("source").isNull().alias("src_null"),
             F.coalesce(F.col("source"), F.lit("")).alias("src"),
             word_count(F.col("text")).alias("size"),
@@ -84,6 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
         .withColumn("start", start)
         .select(
             "doc_id",
+            *carry,
             F.when(F.col("src_null"), F.lit(None).cast("string")).otherwise(F.col("src")).alias("source"),
             "size",
             "source_size",
@@ -93,6 +95,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     )
 
 
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all columns, that the mix takes words of; beside them size, source_size, target, taken."""
+    plan = mix(docs.withColumn("body", F.xxhash64("text")), carry=("body",), **options).where("taken > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("body").alias("mix_body"), F.col("source").alias("mix_source")).agg(
+        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("rows")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64("text") == F.col("mix_body")) & F.col("source").eqNullSafe(F.col("mix_source"))
+    # repeated rows share what they were given
+    return docs.join(plan, same).select(*docs.columns, "size", "source_size", "target", (F.col("taken") / F.col("rows")).cast("long").alias("taken"))
+
+
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
