@@ -97,13 +97,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all columns, that the mix takes words of; beside them size, source_size, target, taken."""
-    plan = mix(docs.withColumn("body", F.xxhash64("text")), carry=("body",), **options).where("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("body").alias("mix_body"), F.col("source").alias("mix_source")).agg(
-        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("rows")
+    rows = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("__body"))
+    plan = mix(rows, carry=("__body",), **options).where("taken > 0")
+    plan = plan.groupBy(F.col("doc_id").alias("__id"), "__body", F.col("source").alias("__source")).agg(
+        F.struct(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("rows")).alias("__mix")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.xxhash64("text") == F.col("mix_body")) & F.col("source").eqNullSafe(F.col("mix_source"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__body")) & F.col("source").eqNullSafe(F.col("__source"))
+    new = ("size", "source_size", "target", "taken")
     # repeated rows share what they were given
-    return docs.join(plan, same).select(*docs.columns, "size", "source_size", "target", (F.col("taken") / F.col("rows")).cast("long").alias("taken"))
+    taken = (F.col("__mix.taken") / F.col("__mix.rows")).cast("long").alias("taken")
+    return docs.join(plan, same).select(*[c for c in docs.columns if c not in new], *[F.col(f"__mix.{c}").alias(c) for c in new[:3]], taken)
 
 
 ORACLE = """

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .graph import dealt_join, linked_components
-from .storage import cut
+from .storage import cut, without
 
 
 @dataclass(frozen=True)
@@ -186,12 +186,6 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id and text (by its hash, body) are in gone."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_body")), "left_anti")
-
-
 def deduplicate(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """docs, with all columns, less those that another document of their component stands for."""
     return without(docs, near_duplicates(docs, plan).where("NOT kept"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,22 +55,22 @@ def counted(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The base columns and both histograms, in one pass over the texts."""
-    text = F.col("body")
+def features(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """The carried columns, lang, the base columns and both histograms, in one pass over the texts."""
+    text = F.col("__text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     tokens = F.split(F.lower(text), r"[^\p{L}]+")
     hits = F.filter(tokens, lambda t: t.isin(BINS))
     # Common words, each in its own brackets, so that removing one shortens the string by its length.
     tagged = F.array_join(F.transform(hits, lambda t: F.concat(F.lit("<"), t, F.lit(">"))), "")
-    d = docs.select("*", F.coalesce(F.col("text"), F.lit("")).alias("body"))
-    d = d.withColumn("words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
-    d = d.withColumn("base", F.struct(
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+    d = docs.select(*carry, F.col("lang").alias("__lang"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    d = d.withColumn("__words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
+    d = d.withColumn("__base", F.struct(
+        F.size("__words").cast("long").alias("n_words"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
+        repeated_words(F.col("__words")).alias("n_repeat_words"),
         F.length(text).cast("double").alias("n"),
         (F.octet_length(text) - F.length(text)).cast("double").alias("beyond"),
         counted(text, "[A-Z]").alias("upper"),
@@ -79,11 +79,12 @@ def features(docs: DataFrame) -> DataFrame:
         F.size(tokens).cast("double").alias("n_tokens"),
         let(tagged, lambda s: F.array(*[((F.length(s) - F.length(F.replace(s, F.lit(f"<{w}>"), F.lit("")))) / F.lit(float(len(w) + 2))) for w in BINS])).alias("common"),
     ))
-    b = F.col("base")
+    b = F.col("__base")
     space = b["n"] - b["word_chars"]
     lower = F.greatest(F.lit(0.0), b["n"] - b["upper"] - b["digit"] - b["punctuation"] - b["n_symbols"] - space - b["beyond"])
     return d.select(
-        *[c for c in docs.columns if c != "text"],
+        *carry,
+        F.col("__lang").alias("lang"),
         *[b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         ((b["n_words"] < 50) | (100 * b["n_repeat_words"] > 50 * b["n_words"])).alias("base_failed"),
         F.array(lower, b["upper"], b["digit"], b["punctuation"], b["n_symbols"].cast("double"), space, b["beyond"]).alias("char_hist"),
@@ -124,17 +125,19 @@ def language_references(feats: DataFrame, max_languages: int) -> DataFrame:
     return named.select("lang", "ref_char", "ref_word").unionByName(pooled.select(F.lit(None).cast("string").alias("lang"), "ref_char", "ref_word"))
 
 
-def judge(docs: DataFrame, max_char_distance: float = 0.25, word_distance: tuple[float, float] = (0.25, 1.5), min_chars: int = 200, min_words: int = 80, max_languages: int = 256) -> DataFrame:
-    """The columns of docs but text, the base columns, char_distance, word_distance, kept.
+def judge(docs: DataFrame, max_char_distance: float = 0.25, word_distance: tuple[float, float] = (0.25, 1.5), min_chars: int = 200, min_words: int = 80, max_languages: int = 256, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, lang, the base columns, char_distance, word_distance, kept, for every row of docs.
 
     kept is false for a document that fails the base rules, that has at least min_chars characters in
     words and a character-class distance above max_char_distance, or at least min_words words and a
     common-word distance above word_distance[0] + word_distance[1] / sqrt(n_words): the sampling noise of
     a histogram falls with the root of its size. A null or empty text has no words and fails the base
     rules. A null or rare language is compared with all documents together. Repeated rows are judged
-    alike, an empty table gives no rows, extra columns pass through.
+    alike, an empty table gives no rows. carry: the columns of docs that pass through (one named like a new column
+    gives way); others are ignored.
     """
-    feats = cut(features(docs.select("*")))
+    new = {"lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_hist", "word_hist", "char_distance", "word_distance", "kept"}
+    feats = cut(features(docs, [c for c in carry if c not in new]))
     refs = language_references(feats, max_languages).collect()
     spark = docs.sparkSession
     rows = [(r["lang"], list(r["ref_char"]), list(r["ref_word"])) for r in refs if r["ref_char"] and r["ref_char"][0] is not None]
@@ -148,3 +151,9 @@ def judge(docs: DataFrame, max_char_distance: float = 0.25, word_distance: tuple
     odd_chars = (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance)
     odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > word_distance[0] + word_distance[1] / F.sqrt("n_words"))
     return d.withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_words).drop("char_hist", "word_hist", "ref_lang", "ref_char", "ref_word")
+
+
+def filtered(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all columns, that are kept; rows are known by doc_id and a hash of the text."""
+    keyed = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("__body"))
+    return without(docs, judge(keyed, carry=("doc_id", "__body"), **options).where("NOT kept").select("doc_id", F.col("__body").alias("body")))

@@ -27,7 +27,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("lang")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

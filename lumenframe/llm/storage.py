@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -22,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and return the stored copy, without df's lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id and text (by its hash, body) are in gone."""
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("body").alias("__gone_body"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_body")), "left_anti")
