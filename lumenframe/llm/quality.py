@@ -77,7 +77,7 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
         counted(text, "[0-9]").alias("digit"),
         counted(text, r"""[.,;:!?'"()-]""").alias("punctuation"),
         F.size(tokens).cast("double").alias("n_tokens"),
-        let(tagged, lambda s: F.array(*[((F.length(s) - F.length(F.replace(s, F.lit(f"<{w}>"), F.lit("")))) / F.lit(float(len(w) + 2))) for w in BINS])).alias("common"),
+        let(tagged, lambda s: F.array(*[((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(f"<{w}>"), F.lit("")))) / F.lit(float(len(w) + 2))) for w in BINS])).alias("common"),
     ))
     b = F.col("__base")
     space = b["n"] - b["word_chars"]
@@ -109,7 +109,7 @@ def language_references(feats: DataFrame, max_languages: int) -> DataFrame:
     Each document weighs 1 (its shares are summed), so that long texts do not dominate. The table has at
     most max_languages rows, those with the most documents; a language beyond it is judged by the pooled row.
     """
-    share = lambda h: F.transform(h, lambda x: x / F.greatest(F.lit(1.0), total(h, "double")))
+    share = lambda h: let(F.struct(h.alias("h"), F.greatest(F.lit(1.0), total(h, "double")).alias("n")), lambda v: F.transform(v["h"], lambda x: x / v["n"]))
     n_c, n_w = len(CLASSES), len(BINS) + 1
     sums = lambda d, keys: d.groupBy(*keys).agg(
         F.count("*").alias("docs"),
