@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, store
 
 
 def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", condition: Column | None = None) -> DataFrame:
@@ -54,34 +54,49 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges
 
 
+def crowds(members: DataFrame) -> DataFrame:
+    """The rows (bucket, node) of buckets with two or more nodes, dealt out by bucket once for both uses."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(n, "bucket")
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    return dealt.join(sizes, "bucket").select("bucket", "node", "size")
+
+
 def linked_components(
-    members: DataFrame,
-    payload: list[str],
+    crowd: DataFrame,
+    attributes: DataFrame,
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    exact: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     rounds: int = 2,
-) -> DataFrame:
+) -> DataFrame | None:
     """Components of the graph whose links are the pairs of nodes that share a bucket, are near and are verified.
 
-    members: bucket, node and the payload columns, a row for each bucket of each node. near(left, right)
-    gets two functions from a payload column's name to the column and must hold for every true link.
-    verify(pairs a, b) returns the linked pairs a, b. Returns u, v as components() does.
+    crowd: bucket, node, size, as crowds() gives them. attributes: one row per node, with node and what near needs.
+    near(left, right) gets two functions from an attribute's name to the column and must hold for every true link.
+    verify(pairs a, b) returns the linked pairs a, b. Returns u, v as components() does, None without any link.
 
     Emitting all pairs of a bucket would grow with the square of a group of near copies. Two nodes that are
-    connected already need no check, so each of a few rounds compares every bucket with one centre, picked
-    by a hash, and joins what is linked. Last, in every bucket that still holds several components, the
-    nodes outside its largest component are compared with all nodes of other components. Together these
-    rounds leave no pair of a bucket unchecked unless its nodes are connected, so no link is lost.
+    connected already need no check, so each of a few rounds compares every bucket with one centre, the node that
+    shares the most bucket places with others (an unchanged original rather than one of its edited copies), and joins
+    what is linked. Last, in every bucket that still holds several components, the nodes outside its largest component
+    are compared with all nodes of other components: refine(rows bucket, node, part, attributes) may first leave out
+    nodes that can have no link and add columns, and exact(left, right), on those columns, must hold for true links and
+    runs inside the join, so that only pairs close to a link leave it. No pair of a bucket stays unchecked unless its
+    nodes are connected, so no link is lost.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    crowd = cut(dealt_join(members, sizes, "bucket").select("l.bucket", "l.node", *[f"l.{c}" for c in payload]))
+    known = [c for c in attributes.columns if c != "node"]
+    fame = crowd.groupBy("node").agg(F.sum("size").alias("fame"))
+    crowd = store(dealt_join(crowd, fame.join(attributes, "node"), "node").select("l.bucket", "l.node", "r.fame", *[f"r.{c}" for c in known]))
     stars = None
-    pack = lambda *more: F.struct("node", *payload, *more)
+    of_left = lambda c: F.col(f"l.{c}")
 
     def labelled() -> DataFrame:
         if stars is None:
             return crowd.withColumn("part", F.col("node"))
-        return crowd.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return dealt_join(crowd, roots, "node", "left").select("l.*", F.coalesce("r.root", "l.node").alias("part")).drop("deal")
 
     def test(pairs: DataFrame) -> DataFrame | None:
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -90,22 +105,23 @@ def linked_components(
         links = verify(pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
         return components(links if stars is None else links.unionByName(stars))
 
-    of_left = lambda c: F.col(f"l.{c}")
-
     for k in range(rounds):
         here = labelled()
-        centres = (
+        pick = F.struct(-F.col("fame") if k == 0 else F.xxhash64(F.lit(k), "node"), "node")
+        centres = cut(
             here.groupBy("bucket")
-            .agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(pack("part"), F.xxhash64(F.lit(k), "node")).alias("c"))
+            .agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(F.struct("node", "part", *known), pick).alias("c"))
             .where("lo != hi")
             .select("bucket", "c")
         )
         pairs = dealt_join(here, centres, "bucket", condition=(F.col("l.part") != F.col("r.c.part")) & near(of_left, lambda c: F.col(f"r.c.{c}")))
         stars = test(pairs.select(F.col("l.node").alias("a"), F.col("r.c.node").alias("b")))
-    here = cut(labelled())
-    parts = here.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    several = cut(dealt_join(here, parts, "bucket").select("l.bucket", "l.node", "l.part", *[f"l.{c}" for c in payload], "r.main"))
-    rest = several.where("part != main")
-    pairs = dealt_join(rest, several, "bucket", condition=(F.col("l.part") != F.col("r.part")) & near(of_left, lambda c: F.col(f"r.{c}")))
-    stars = test(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
-    return members.sparkSession.createDataFrame([], members.select(F.col("node").alias("u"), F.col("node").alias("v")).schema) if stars is None else stars
+    here = store(labelled().drop("fame"))
+    parts = here.groupBy("bucket", "part").agg(F.count("*").alias("n_part")).groupBy("bucket").agg(F.max_by("part", F.struct("n_part", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    several = dealt_join(here, parts, "bucket").select("l.bucket", "l.node", "l.part", *[f"l.{c}" for c in known], "r.main")
+    several = store(refine(several) if refine else several)
+    holds = (F.col("l.part") != F.col("r.part")) & near(of_left, lambda c: F.col(f"r.{c}"))
+    if exact:
+        holds = holds & exact(of_left, lambda c: F.col(f"r.{c}"))
+    pairs = dealt_join(several.where("part != main"), several, "bucket", condition=holds)
+    return test(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .graph import dealt_join, linked_components
-from .storage import cut, without
+from .graph import crowds, dealt_join, linked_components
+from .storage import cut, may_hold, membership, store, without
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """node, shingles: the sorted 64-bit hashes of the set as bytes, for every row with a set."""
+    """node, shingles: the sorted 64-bit hashes of the set, for every row with a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +127,10 @@ def full_sets(docs: DataFrame, plan: Plan) -> DataFrame:
             for _, s in _sets(batch, plan.shingle):
                 if len(s):
                     nodes.append(fingerprint(s))
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node binary, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "node binary, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -140,8 +140,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
+                both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= plan.threshold * (len(both) - shared))
@@ -161,25 +160,44 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     rows are both kept as one document. A null doc_id takes part in links; it is the component_id only where
     no other is reached. An empty table gives no rows; columns other than doc_id and text are ignored.
     """
-    signed = cut(signatures(docs, plan))
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = cut(nodes)
-    members = nodes.select("node", "n", "sketch", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "n", "sketch")
+    signed = store(signatures(docs, plan))
+    nodes = store(
+        signed.where(F.col("node").isNotNull())
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body")).getField("body").alias("body"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    )
+    members = nodes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    crowd = store(crowds(members))
+    chosen = cut(crowd.select("node").distinct().join(nodes, "node").select("node", "least_id", "body", "n", "sketch"))
+    # One text of each node: told by its hash, which a bitmap of bounded size tests before anything is shuffled.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("body")).where(may_hold(membership(chosen, "body"), "body"))
+    texts = texts.join(chosen.select("body", F.col("least_id").alias("doc_id")).distinct(), ["body", "doc_id"], "left_semi").unionByName(texts.where(F.col("doc_id").isNull()).select("body", "doc_id", "text"))
+    sets = full_sets(texts, plan)
+    sets = store(sets.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     most, t = plan.most_bits(), plan.threshold
 
     def near(left, right) -> Column:
         bits = sum((F.bit_count(left("sketch")[i].bitwiseXOR(right("sketch")[i])) for i in range(plan.sketch_words)), F.lit(0))
         return (100 * left("n") >= t * right("n")) & (100 * right("n") >= t * left("n")) & (bits <= most)
 
-    paired = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    wanted = dealt_join(members.select("bucket", "node"), paired, "bucket").select(F.col("l.node").alias("node")).distinct()
-    chosen = cut(wanted.join(nodes.select("node", "least_id"), "node"))
-    texts = docs.select("doc_id", "text").join(chosen.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    nulls = docs.select("doc_id", "text").where(F.col("doc_id").isNull())
-    sets = full_sets(texts.unionByName(nulls), plan)
-    sets = cut(sets.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    stars = linked_components(members, ["n", "sketch"], near, lambda pairs: confirmed(pairs, sets, plan))
-
+    def refine(rows: DataFrame) -> DataFrame:
+        """Leave out nodes of which too many shingles are in no other node: whatever the partner, at most the others are
+        shared, and a link needs t (n + n_partner) / (100 + t) of them. What stays brings its set along."""
+        rows = store(rows)
+        mine = sets.join(rows.select("node").distinct(), "node", "left_semi")
+        once = mine.select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.first("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
+        usable = rows.join(once, "node", "left").withColumn("usable", F.col("n") - F.coalesce("alone", F.lit(0)))
+        least = usable.groupBy("bucket").agg(F.min("n").alias("least_n"))
+        fit = dealt_join(usable, least, "bucket").where((100 + t) * F.col("l.usable") >= t * (F.col("l.n") + F.greatest(F.col("r.least_n"), F.col("l.n") * t / 100))).select("l.*").drop("deal", "alone", "usable")
+        return dealt_join(fit, sets, "node").select("l.*", "r.shingles").drop("deal")
+
+    def exact(left, right) -> Column:
+        shared = F.size(F.array_intersect(left("shingles"), right("shingles")))
+        return (100 + t) * shared >= t * (left("n") + right("n"))
+
+    stars = linked_components(crowd, chosen.select("node", "n", "sketch"), near, lambda pairs: confirmed(pairs, sets, plan), refine, exact)
+    if stars is None:
+        stars = nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     roots = nodes.select("node", "least_id").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(roots.join(roots.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("node", "component_id").where("component_id IS NOT NULL"))
     out = dealt_join(signed.select("doc_id", "body", "n_shingles", "node"), named, "node", "left").select("l.doc_id", "l.body", "l.n_shingles", F.when(F.col("l.node").isNull(), F.col("l.doc_id")).otherwise(F.col("r.component_id")).alias("component_id"))

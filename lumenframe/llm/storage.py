@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder: smaller than cut()'s files, and not partitioned by any key."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def membership(ids: DataFrame, column: str, bits: int = 23) -> DataFrame:
+    """One row with a bitmap (array of longs, 2 ** bits bits) of 64-bit ids, for may_hold().
+
+    Its size does not depend on the ids; the more there are, the fewer rows a test against it leaves out.
+    """
+    spark = ids.sparkSession
+    part = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = ids.select(F.shiftright(part, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    every = spark.range(1 << (bits - 6)).join(words, F.col("id") == F.col("w"), "left")
+    listed = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x"))
+    return cut(listed.select(F.col("x.b").alias("bitmap")))
+
+
+def may_hold(bitmap: DataFrame, id_: str, bits: int = 23) -> Column:
+    """Whether an id can be among those of a bitmap: true for all that are, and for some others."""
+    word = F.get(bitmap.scalar(), F.shiftright(F.col(id_).bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"))
+    return word.bitwiseAND(F.expr(f"shiftleft(1L, cast({id_} & 63 as int))")) != 0
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id and text (by its hash, body) are in gone."""
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("body").alias("__gone_body"))
