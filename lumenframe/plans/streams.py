@@ -17,7 +17,7 @@ def _folder(spark) -> str:
 
 
 def _stream(spark, d, name: str):
-    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", "*.parquet").parquet(d if d.endswith("/") else f"{d}/{name}.parq*")
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parq*")
 
 
 @query()
