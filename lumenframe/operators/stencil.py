@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pixel import apart, listed
+
 
 def scan_lines(pixels: DataFrame, value: str = "v") -> DataFrame:
     return pixels.groupBy("frame_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", value))), lambda s: s[value]).alias("line"))
@@ -63,20 +65,18 @@ def mosaic_average(lines: DataFrame, pattern: list[int]) -> DataFrame:
     """frame_id, y, x, r, g, b of a 6 x 6 mosaic: the own colour is the sample, the others are means over the 5 x 5
     neighbourhood weighed by 1 / (1 + squared distance), rounded half up after six decimals. pattern: 36 of 0 red, 1 green, 2 blue."""
     n = neighbourhood(lines, 2, 6)
-    table = F.lit(pattern)
-    site = lambda y, x: F.get(table, (F.pmod(y, F.lit(6)) * 6 + F.pmod(x, F.lit(6))).cast("int"))
-    own = F.col("l2")[F.col("x")]
+    places = [(dy, dx) for dy in range(-2, 3) for dx in range(-2, 3)]
+    taps = F.array(*[F.get(F.col(f"l{dy + 2}"), wrapped(F.col("x") + dx, F.col("width"), 6)) for dy, dx in places])
+    site = (F.col("y") % 6) * 6 + F.col("x") % 6
+    t = apart(n.select("frame_id", "y", "x", taps.alias("taps"), site.cast("int").alias("site")))
     colours = []
     for colour in range(3):
-        top, weights = F.lit(0.0), F.lit(0.0)
-        for dy in range(-2, 3):
-            for dx in range(-2, 3):
-                weight = F.when(site(F.col("y") + dy, F.col("x") + dx) == colour, 1.0 / (1 + dx * dx + dy * dy)).otherwise(0.0)
-                top = top + weight * F.get(F.col(f"l{dy + 2}"), wrapped(F.col("x") + dx, F.col("width"), 6))
-                weights = weights + weight
-        mean = F.floor(F.round(top / F.greatest(weights, F.lit(1e-6)), 6) + 0.5).cast("int")
-        colours.append(F.when(site(F.col("y"), F.col("x")) == colour, own).otherwise(mean))
-    return n.select("frame_id", "y", "x", *[c.alias(k) for c, k in zip(colours, "rgb", strict=True)])
+        weights = [[(pattern[(s // 6 + dy) % 6 * 6 + (s % 6 + dx) % 6] == colour) / (1 + dx * dx + dy * dy) for dy, dx in places] for s in range(36)]
+        own = F.slice(listed([w for row in weights for w in row]), F.col("site") * 25 + 1, F.lit(25))
+        top = F.aggregate(F.zip_with("taps", own, lambda v, w: v * w), F.lit(0.0), lambda a, x: a + x)
+        mean = F.floor(F.round(top / F.get(listed([max(sum(row), 1e-6) for row in weights]), F.col("site")), 6) + 0.5).cast("int")
+        colours.append(F.when(F.get(F.lit(pattern), F.col("site")) == colour, F.get("taps", F.lit(12))).otherwise(mean))
+    return t.select("frame_id", "y", "x", *[c.alias(k) for c, k in zip(colours, "rgb", strict=True)])
 
 
 def warp_source(x: Column, y: Column, width: int, height: int, radial: list[float], tangential: list[float]) -> tuple[Column, Column]:
