@@ -22,8 +22,8 @@ def coalesce_jobs(jobs: DataFrame, keys: list[str], order: str, flight: int) ->
 
 
 def current_results(jobs: DataFrame, key: str, order: str, exempt: Column) -> DataFrame:
-    """jobs that are not stale: of the largest generation submitted so far for their key, or exempt."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """jobs that are not stale: of the largest generation submitted so far (ties in order included) for their key, or exempt."""
+    w = Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return jobs.withColumn("__newest", F.max("generation").over(w)).where(exempt | (F.col("generation") >= F.col("__newest"))).drop("__newest")
 
 

@@ -333,7 +333,7 @@ def q_coalesce(spark, d):
     return pool.coalesce_jobs(jobs(spark, d), ["type", "path"], "seq", 5000)
 
 
-@query(f"WITH {JOBS}, m AS (SELECT *, max(path) OVER (PARTITION BY worker ORDER BY seq ROWS UNBOUNDED PRECEDING) AS newest FROM jobs) SELECT seq, worker, path FROM m WHERE type = 'N' OR path >= newest")
+@query(f"WITH {JOBS}, m AS (SELECT *, max(path) OVER (PARTITION BY worker ORDER BY seq) AS newest FROM jobs) SELECT seq, worker, path FROM m WHERE type = 'N' OR path >= newest")
 def q_generation(spark, d):
     j = jobs(spark, d).drop("generation").withColumn("generation", F.col("path"))
     return pool.current_results(j, "worker", "seq", F.col("type") == "N").select("seq", "worker", "path")
