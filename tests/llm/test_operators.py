@@ -224,6 +224,26 @@ def test_line_dedup(spark):
     assert kept == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
 
 
+def test_line_dedup_by_edit_similarity(spark):
+    """Groups by edit similarity alone, with one changed word or letter at every length; rarely by a few more."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for n in (6, 8, 10, 15, 25, 40, 80):
+        for _ in range(3):
+            base = [word() for _ in range(n)]
+            short = min(range(n), key=lambda k: len(base[k]))
+            changed = [w[::-1] + "x" if k == short else w for k, w in enumerate(base)]
+            letter = " ".join(base)
+            rows += [" ".join(base), " ".join(changed), letter[:7] + ("q" if letter[7] != "q" else "z") + letter[8:] if letter[7] != " " else letter[:8] + "qq" + letter[9:]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if edit_distance(rows[a], rows[b]) <= int(0.2 * max(len(rows[a]), len(rows[b])) + 1e-9)]
+    group = brute_components(links, range(len(rows)))
+    assert len(set(group.values())) <= 24
+    got = {r["doc_id"] for r in line_dedup.summary(df, max_distance=None).where("n_dropped = 1").collect()}
+    assert got == {i for i in group if group[i] != i}
+
+
 def test_pii_base(docs):
     extra = [(-1, "x@y@z.co a..b@c-d.e.f%g@h.i +1 2 3 4 5 6 7 8 9 1.2.3.4.5.6 999.1.1.1 4111-1111-1111-1111 0000000000000000 12 34 @a.b"), (-2, "1" * 3000 + "@" + "a" * 3000)]
     rows = texts_of(docs) + extra
