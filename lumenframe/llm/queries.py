@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.summary(table(spark, sf_dir, "documents"), max_distance=None)
+    return line_dedup.summary(table(spark, sf_dir, "documents"), min_words=1, max_distance=None)
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

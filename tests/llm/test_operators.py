@@ -244,6 +244,19 @@ def test_line_dedup_by_edit_similarity(spark):
     assert got == {i for i in group if group[i] != i}
 
 
+def test_short_lines_in_query_and_pipeline(spark, tmp_path):
+    """Repeats of lines of one or two words, and of a sentence without spaces, are dropped; a line without a word stays."""
+    import corpus_pipeline
+
+    rows = [(0, "and ornd\nthe first line stays\n--"), (1, "And ornd!\nanother one is here\n--"), (2, "\u4eca\u65e5\u306f\u96e8"), (3, "x\n\u4eca\u65e5\u306f\u96e8"), (4, "y\nX")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["dropped"] for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: "", 1: "0", 2: "", 3: "1", 4: "1"}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == {0: rows[0][1], 1: "another one is here\n--", 2: rows[2][1], 3: "x", 4: "y"}
+
+
 def test_pii_base(docs):
     extra = [(-1, "x@y@z.co a..b@c-d.e.f%g@h.i +1 2 3 4 5 6 7 8 9 1.2.3.4.5.6 999.1.1.1 4111-1111-1111-1111 0000000000000000 12 34 @a.b"), (-2, "1" * 3000 + "@" + "a" * 3000)]
     rows = texts_of(docs) + extra
