@@ -257,6 +257,20 @@ def test_short_lines_in_query_and_pipeline(spark, tmp_path):
     assert kept == {0: rows[0][1], 1: "another one is here\n--", 2: rows[2][1], 3: "x", 4: "y"}
 
 
+def test_long_and_repeated_lines(spark):
+    """Lines beyond 32,767 words have signatures and meet their near copies; repeated rows do not add up or overflow."""
+    rng = random.Random(4)
+    long = [rng.choice("abcdefgh") for _ in range(70_000)]
+    short = [f"w{i}" for i in range(20)]
+    lines = [long, [*long[:-1], "z"], short]
+    df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(lines[1]))] + [(None, " ".join(short))] * 5000, "doc_id long, text string")
+    words = sorted({w for x in lines for w in x})
+    hashes = {r["w"]: r["h"] & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    assert sorted(r["simhash"] & (2**64 - 1) for r in line_dedup.simhashes(df, 5).collect()) == sorted(simhash(x, hashes) for x in lines)
+    met = [set(r["buckets"]) for r in line_dedup.minhashes(df, 5).collect()]
+    assert len(met) == 3 and sorted(bool(a & b) for i, a in enumerate(met) for b in met[:i]) == [False, False, True]
+
+
 def test_pii_base(docs):
     extra = [(-1, "x@y@z.co a..b@c-d.e.f%g@h.i +1 2 3 4 5 6 7 8 9 1.2.3.4.5.6 999.1.1.1 4111-1111-1111-1111 0000000000000000 12 34 @a.b"), (-2, "1" * 3000 + "@" + "a" * 3000)]
     rows = texts_of(docs) + extra
