@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import cut, store
@@ -16,10 +16,10 @@ from .storage import cut, store
 def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", condition: Column | None = None) -> DataFrame:
     """Join on key, with both sides dealt out for this join even where one is partitioned by key already.
 
-    Only then can Spark split the partitions of a hot key while it runs. The extra key column leads to that.
+    Only then can Spark split the partitions of a hot key while it runs. The second, equivalent condition leads to that.
     """
-    left, right = left.withColumn("deal", F.hash(key)).alias("l"), right.withColumn("deal", F.hash(key)).alias("r")
-    on = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.deal") == F.col("r.deal"))
+    left, right = left.alias("l"), right.alias("r")
+    on = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.hash(f"l.{key}") == F.hash(f"r.{key}"))
     return left.join(right, on if condition is None else on & condition, how)
 
 
@@ -51,6 +51,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     return edges
 
 
@@ -62,6 +64,24 @@ def crowds(members: DataFrame) -> DataFrame:
     return dealt.join(sizes, "bucket").select("bucket", "node", "size")
 
 
+def shared_buckets(members: DataFrame, hot: list[int]) -> DataFrame:
+    """bucket, node, size of the buckets (longs) with two or more nodes, from rows (bucket, node) that may repeat.
+
+    Of buckets with the same nodes, known by their number, least, greatest and a hash of all, one is enough and stays.
+    members is dealt out once. Buckets in hot, known to be shared by many, are dealt out by node, so that none of
+    them meets in one task.
+    """
+    is_hot = F.col("bucket").isin(hot) if hot else F.lit(False)
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.withColumn("salt", F.when(is_hot, F.xxhash64("node")).otherwise(0)).repartition(n, "bucket", "salt")
+    together = Window.partitionBy("bucket", "salt")
+    met = dealt.withColumn("lo", F.min("node").over(together)).withColumn("hi", F.max("node").over(together)).where((F.col("lo") != F.col("hi")) | is_hot)
+    rows = store(met.select("bucket", "node").distinct())
+    sets = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all")).where("size > 1")
+    one = sets.groupBy("size", "lo", "hi", "all").agg(F.min("bucket").alias("bucket"))
+    return dealt_join(rows, one, "bucket").select("l.bucket", "l.node", "r.size")
+
+
 def linked_components(
     crowd: DataFrame,
     attributes: DataFrame,
@@ -96,7 +116,7 @@ def linked_components(
         if stars is None:
             return crowd.withColumn("part", F.col("node"))
         roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        return dealt_join(crowd, roots, "node", "left").select("l.*", F.coalesce("r.root", "l.node").alias("part")).drop("deal")
+        return dealt_join(crowd, roots, "node", "left").select("l.*", F.coalesce("r.root", "l.node").alias("part"))
 
     def test(pairs: DataFrame) -> DataFrame | None:
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
