@@ -93,7 +93,7 @@ def classify(node: Node, features: list[float]) -> bool:
 
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 # Elements whose text is no text of the page, that end a text block, and that hold others.
 RAW = set("script style noscript template svg math canvas iframe object textarea select head title".split())
@@ -108,56 +108,86 @@ breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert p
 social share sharing related recommended comment comments commentlist disqus respond reply replies login search copyright legal
 widget widgets skip pagination pager toolbar
 """.split())
+# Words of a class or id that speak for the main text, so that a word above beside them means nothing.
+CONTENT_WORDS = set("article body content entry main page post story text wrap wrapper container layout".split())
+#: Elements that end an open one of the same kind, and those beyond which they do not look for it.
+ENDS_ITSELF = {"p": set(), "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass
 class Open:
-    """An element that is open. aside: it and what it holds is no main text; header: only headings of it count."""
+    """An element that is open. apart: it and what it holds is no main text by its tag, role or state; named: by its class
+    or id, which an article inside overrules; header: only headings of it count."""
 
     tag: str
-    aside: bool
+    apart: bool
+    named: bool
     article: bool
     header: bool
 
+    @property
+    def aside(self) -> bool:
+        return self.apart or self.named
+
 
 def _opened(tag: str, attributes: str, outer: Open) -> Open:
-    aside, header, article = outer.aside or tag in ASIDE_TAGS, outer.header, outer.article or tag == "article"
+    inner = tag in ("article", "main")
+    apart, named = outer.apart or tag in ASIDE_TAGS, outer.named and not inner
+    header, article = outer.header, outer.article or tag == "article"
     if tag == "header":
-        header, aside = True, aside or not article
+        header, apart = True, apart or not article
     if attributes:
         for m in _NAMED.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            parts = set(_PARTS.split(value))
+            parts = set(_PARTS.split((m[2] or m[3] or m[4] or "").lower()))
             if m[1].lower() == "role":
-                aside |= bool(parts & ASIDE_ROLES)
+                apart |= bool(parts & ASIDE_ROLES)
                 article |= "article" in parts
-            elif tag not in ("body", "html", "article", "main"):
-                aside |= bool(parts & ASIDE_WORDS)
+            elif tag not in ("body", "html") and not inner and not parts & CONTENT_WORDS:
+                named |= bool(parts & ASIDE_WORDS)
                 if "header" in parts or "masthead" in parts:
-                    header, aside = True, aside or not article
-        aside |= bool(_HIDDEN.search(attributes))
-    return Open(tag, aside, article, header)
+                    header, apart = True, apart or not article
+        apart |= bool(_HIDDEN.search(attributes))
+    return Open(tag, apart, named, article, header)
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, share of its words in links, aside, in an article, heading) of each block with text, in page order."""
+    """(text, share of its words in links, aside, in an article, heading) of each block with text, in page order.
+
+    Every element but the void ones is on the stack while it is open; a closing tag closes what is open inside, an inline one
+    only itself. An inline element that is set apart does not end the block that it is in; its text is a block of its own.
+    """
     out: list[tuple[str, float, bool, bool, bool]] = []
-    stack = [Open("", False, False, False)]
+    stack = [Open("", False, False, False, False)]
     texts: list[str] = []
     linked: list[str] = []
-    in_link = False
-    heading = False
+    apart: list[str] = []
+
+    def cleaned(parts: list[str]) -> str:
+        return " ".join(html.unescape("".join(parts)).split())
 
     def close_block() -> None:
-        if texts:
-            text = " ".join(html.unescape("".join(texts)).split())
-            if text:
-                top = stack[-1]
-                n, k = len(text.split()), len(html.unescape("".join(linked)).split())
-                out.append((text, min(1.0, k / n), top.aside or (top.header and not heading), top.article, heading))
+        if text := cleaned(texts):
+            # the block's own element is the innermost open one that is not inline
+            top = next(o for o in reversed(stack) if o.tag not in INLINE)
+            heading = any(o.tag in HEADINGS for o in stack)
+            share = min(1.0, len(cleaned(linked).split()) / len(text.split()))
+            out.append((text, share, top.aside or (top.header and not heading), top.article, heading))
+        if text := cleaned(apart):
+            out.append((text, 0.0, True, stack[-1].article, False))
         texts.clear()
         linked.clear()
+        apart.clear()
+
+    def add(text: str) -> None:
+        block = next(o for o in reversed(stack) if o.tag not in INLINE)
+        if stack[-1].aside and not block.aside:
+            apart.append(text)
+            texts.append(" ")
+        else:
+            texts.append(text)
+            if any(o.tag == "a" for o in stack):
+                linked.append(text + " ")
 
     pos, end = 0, len(page)
     while pos < end:
@@ -165,9 +195,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if at < 0:
             at = end
         if at > pos:
-            texts.append(page[pos:at])
-            if in_link:
-                linked.append(page[pos:at] + " ")
+            add(page[pos:at])
         if at == end:
             break
         if page.startswith("<!--", at):
@@ -180,7 +208,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
                 stop = page.find(">", at)
                 pos = end if stop < 0 else stop + 1
             else:
-                texts.append("<")
+                add("<")
                 pos = at + 1
             continue
         pos = m.end()
@@ -197,34 +225,34 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             elif tag in ("script", "style"):
                 pos = end
             continue
-        if tag in INLINE and not (tag == "span" and _NAMED.search(attributes or "")):
-            if tag == "a":
-                in_link = not closing
-            elif tag == "br":
-                texts.append(" ")
+        if tag in INLINE:
+            if tag == "br":
+                add(" ")
+            elif closing:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        del stack[k]
+                        break
+            elif tag not in VOID and not attributes.endswith("/"):
+                if tag == "a":  # a link cannot hold another
+                    stack[1:] = [o for o in stack[1:] if o.tag != "a"]
+                stack.append(_opened(tag, attributes, stack[-1]))
             continue
-        if tag == "span":  # one with a class or id may set an advert or notice apart
-            if not closing and not _opened(tag, attributes, Open("", False, False, False)).aside:
-                continue
         close_block()
         if closing:
-            if tag in HEADINGS:
-                heading = False
-            if tag not in HEADINGS and tag != "p" and any(o.tag == tag for o in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
-            if tag not in INLINE:
-                in_link = False
-        else:
-            heading = tag in HEADINGS
-            if tag not in VOID and tag not in HEADINGS and not attributes.endswith("/"):
-                while stack[-1].tag == "p" or (tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].tag == tag):
-                    stack.pop()
-                stack.append(_opened(tag, attributes, stack[-1]))
-            elif stack[-1].tag == "p":
-                stack.pop()
-            if tag in HEADINGS and _opened(tag, attributes, Open("", False, False, False)).aside:
-                heading = False
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    del stack[k:]
+                    break
+        elif tag not in VOID and not attributes.endswith("/"):
+            for same, beyond in (("p", ENDS_ITSELF["p"]), (tag, ENDS_ITSELF.get(tag))):
+                for k in range(len(stack) - 1, 0, -1) if beyond is not None else ():
+                    if stack[k].tag == same:
+                        del stack[k:]
+                        break
+                    if stack[k].tag in beyond or (same == "p" and stack[k].tag not in INLINE):
+                        break
+            stack.append(_opened(tag, attributes, stack[-1]))
     close_block()
     return out
 
@@ -238,14 +266,15 @@ def main_text(page: str | None, tree: Node) -> str:
         after = (sizes[i + 1], 100 * found[i + 1][1]) if i + 1 < len(found) else (0, 0)
         if classify(tree, [sizes[i], 100 * links, *before, *after, aside, article, heading]):
             kept.append(text)
-    return "\n".join(kept)
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
     A null or empty html gives an empty text; repeated rows are read each for itself, null page_id and url pass
-    through, an empty table gives no rows, other columns are ignored.
+    through, an empty table gives no rows, other columns are ignored. A page is read whole, however long it is; a batch
+    has a bounded number of rows and its texts are worked on one by one.
     """
     types = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     tree = trained_tree()

@@ -324,7 +324,7 @@ def test_html(spark, sf_dir):
     for r in queries.op9_html_text(spark, sf_dir).collect():
         article = re.search("<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         parts = (" ".join(html_lib.unescape(re.sub("<[^>]+>", " ", b)).split()) for b in re.split("</?(?:p|h1|div)[^>]*>", article))
-        assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+        assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
 def test_html_parts():
@@ -334,10 +334,27 @@ def test_html_parts():
     <aside><p>Another story that is quite long but stands at the side of the page.</p></aside>
     <section class="comments"><p>I liked this article a lot, thank you for writing it my friend.</p></section>
     <form><p>Subscribe to our letter and never miss a single story of ours again.</p></form><footer>&copy; me</footer><script>var a="<p>no</p>"</script>"""
-    got = html_text.main_text(page, html_text.trained_tree()).split("\n")
+    got = html_text.main_text(page, html_text.trained_tree()).split("\n\n")
     assert got == ["A title of some length here", "First été paragraph with one link and some more words in it.", "Second paragraph, which is long enough <to> stay where it is in this text."]
 
 
+def test_html_elements_apart():
+    """Text beside, after and around elements that are set apart stays; data- attributes mean nothing; tags may be left open."""
+    tree = html_text.trained_tree()
+    read = lambda body: html_text.main_text(f"<html><body>{body}</body></html>", tree).split("\n\n")
+    more = "and some more words that make this a paragraph of usual length in an article"
+    assert read(f"<article><p>One <span class='ad'>buy <b>now</b></span> two {more}.</p><p>Three {more}.</p></article>") == [f"One two {more}.", f"Three {more}."]
+    assert read(f"<article><p>One <span class='ad'><span>buy</span> now</span> two {more}.</p></article>") == [f"One two {more}."]
+    assert read(f"<article><p class='ad'>buy</p>bare text {more}</article>") == [f"bare text {more}"]
+    assert read(f"<div class='content-sidebar-wrap'><article><p>One {more}.</p></article></div>") == [f"One {more}."]
+    assert read(f"<div class='sidebar'><p>Aside {more}.</p></div><article><p>One {more}.</p></article>") == [f"One {more}."]
+    assert read(f"<article data-id='ad' data-role='banner'><p data-class='ad'>One {more}.</p></article>") == [f"One {more}."]
+    assert read(f"<article><ul><li>One {more}<li>Two {more}</ul><p>Three {more}<p class=ad>Buy<p>Four <b>{more}</article>") == [f"One {more}", f"Two {more}", f"Three {more}", f"Four {more}"]
+    assert read(f"<article><p>One <b>two <i>three</b> four</i> {more}</p></article><form><p>Send {more}</p></form>") == [f"One two three four {more}"]
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert read(f"<article><p>{long}</p></article>") == [long]
+
+
 def test_url_rules(spark, sf_dir):
     rows = url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
