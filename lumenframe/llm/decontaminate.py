@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -123,14 +123,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
     A document is contaminated if words are hit and share * n_hit >= n_words. The benchmark is read once in
     blocks of max_block_bytes characters; each block is broadcast by itself and a task holds one at a time,
-    so memory is bounded by a block and a shard however large either table grows. A null or empty text has no
+    so a task's memory is bounded by a block and a shard however large either table grows (an executor keeps all blocks,
+    in memory or on disk, as Spark does with broadcasts). Very long texts are a shard of their own. A null or empty text has no
     words and no hits; a null or empty item has no windows; a null item_id counts as the empty string and
     repeated items as one item_id. Equal longest matches: the first in the document, then the smallest
     item_id. Repeated documents are judged each for itself, an empty table gives no rows. carry: the columns of
     docs that pass through (one named like a new column gives way); others are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(test_suffixes(b, window)) for b in _blocks(benchmark, max_block_bytes)]
+    # plain tuples of arrays: an executor needs no copy of this package to read them
+    shared = [sc.broadcast(tuple(getattr(t, f.name) for f in fields(t))) for t in (test_suffixes(b, window) for b in _blocks(benchmark, max_block_bytes))]
 
     def judge_shard(data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
         words = tokens.split_words(data, offsets, tokens.ALNUM)
@@ -141,7 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         best: list[tuple | None] = [None] * n_docs
         doc_of = np.repeat(np.arange(n_docs), np.diff(first))
         for b in shared:
-            test: TestSuffixes = b.value
+            # several blocks are read from the executor's copy by turns, so that a task holds one
+            test = TestSuffixes(*(b.value if len(shared) == 1 or not getattr(b, "_path", None) else b.load_from_path(b._path)))
             if not len(test.keys):
                 continue
             at = np.searchsorted(test.words, words.hashes)
@@ -207,5 +210,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all columns, that are not contaminated."""
-    return contamination(docs, benchmark, carry=tuple(docs.columns), **options).where("NOT contaminated").select(*docs.columns)
+    """The rows of docs, with all columns and whatever their names, that are not contaminated.
+
+    A null or empty text has no words and stays, as do repeated rows of a clean document; an empty table gives no rows.
+    """
+    other = {c: f"__in_{k}" for k, c in enumerate(docs.columns) if c != "text"}
+    renamed = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in other.items()])
+    judged = contamination(renamed, benchmark, carry=("text", *other.values()), **options).where("NOT contaminated")
+    return judged.select(*[F.col("text") if c == "text" else F.col(other[c]).alias(c) for c in docs.columns])

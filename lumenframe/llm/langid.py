@@ -9,7 +9,7 @@ rejected.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,6 @@ class Settings:
     buckets: int = 1 << 13
     size: int = 16
     max_rows: int = 2000
-    max_languages: int = 256
     epochs: int = 12
     rate: float = 40.0
     seed: int = 11
@@ -92,7 +91,7 @@ def sample_features(docs: DataFrame, use: Column, s: Settings) -> list[tuple[str
     """(language, buckets, shares) of at most s.max_rows rows. First only ids and languages are read, then the
     texts of the chosen rows are turned into features on the executors."""
     rows = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
     if not sizes:
         return []
     place = (F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)) * F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang")), F.lit(0))
@@ -172,11 +171,12 @@ def identify(docs: DataFrame, use: Column | None = None, settings: Settings = Se
     table gives no rows, columns other than doc_id, text and lang are ignored.
     """
     model = train(sample_features(docs, ~is_held_out(F.col("doc_id")) if use is None else use, settings), settings)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # a plain tuple of arrays: an executor needs no copy of this package to read it
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)) if model else None)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model | None = shared.value
+        m = Model(*shared.value) if shared.value else None
         for batch in batches:
             names: list[str] = []
             scores: list[float] = []

@@ -26,7 +26,7 @@ COMMON_WORDS = {
     "nl": "de het een van en in is dat op te zijn met voor niet aan er om ook als bij",
 }
 BINS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
-CLASSES = ["lower", "upper", "digit", "punctuation", "symbol", "space", "beyond_ascii"]
+CLASSES = ["lower", "upper", "digit", "punctuation", "symbol", "space", "other_ascii", "beyond_ascii"]
 
 
 def let(value: Column, body) -> Column:
@@ -72,7 +72,8 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_words(F.col("__words")).alias("n_repeat_words"),
         F.length(text).cast("double").alias("n"),
-        (F.octet_length(text) - F.length(text)).cast("double").alias("beyond"),
+        F.when(F.octet_length(text) == F.length(text), 0.0).otherwise(counted(text, r"[^\x00-\x7F]")).alias("beyond"),
+        counted(text, r"[\x00-\x08\x0E-\x1F\x7F+/=@\[\\\]^_`{}~]").alias("other"),
         counted(text, "[A-Z]").alias("upper"),
         counted(text, "[0-9]").alias("digit"),
         counted(text, r"""[.,;:!?'"()-]""").alias("punctuation"),
@@ -81,13 +82,13 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
     ))
     b = F.col("__base")
     space = b["n"] - b["word_chars"]
-    lower = F.greatest(F.lit(0.0), b["n"] - b["upper"] - b["digit"] - b["punctuation"] - b["n_symbols"] - space - b["beyond"])
+    lower = F.greatest(F.lit(0.0), b["n"] - b["upper"] - b["digit"] - b["punctuation"] - b["n_symbols"] - space - b["other"] - b["beyond"])
     return d.select(
         *carry,
         F.col("__lang").alias("lang"),
         *[b[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         ((b["n_words"] < 50) | (100 * b["n_repeat_words"] > 50 * b["n_words"])).alias("base_failed"),
-        F.array(lower, b["upper"], b["digit"], b["punctuation"], b["n_symbols"].cast("double"), space, b["beyond"]).alias("char_hist"),
+        F.array(lower, b["upper"], b["digit"], b["punctuation"], b["n_symbols"].cast("double"), space, b["other"], b["beyond"]).alias("char_hist"),
         F.concat(b["common"], F.array(F.greatest(F.lit(0.0), b["n_tokens"] - total(b["common"], "double")))).alias("word_hist"),
     )
 
@@ -103,11 +104,10 @@ def js_distance(p: Column, q: Column) -> Column:
     return let(F.struct(p.alias("p"), q.alias("q"), total(p, "double").alias("n"), total(q, "double").alias("m")), of)
 
 
-def language_references(feats: DataFrame, max_languages: int) -> DataFrame:
-    """Pooled histograms of each language and, under a null lang_ref, of all documents together.
+def language_references(feats: DataFrame) -> tuple[DataFrame, tuple[list[float], list[float]]]:
+    """Pooled histograms ref_char, ref_word of each language ref_lang, and those of all documents together.
 
-    Each document weighs 1 (its shares are summed), so that long texts do not dominate. The table has at
-    most max_languages rows, those with the most documents; a language beyond it is judged by the pooled row.
+    Each document weighs 1 (its shares are summed), so that long texts do not dominate.
     """
     share = lambda h: let(F.struct(h.alias("h"), F.greatest(F.lit(1.0), total(h, "double")).alias("n")), lambda v: F.transform(v["h"], lambda x: x / v["n"]))
     n_c, n_w = len(CLASSES), len(BINS) + 1
@@ -118,35 +118,32 @@ def language_references(feats: DataFrame, max_languages: int) -> DataFrame:
     )
     shares = feats.where(~F.col("base_failed")).select("lang", share(F.col("char_hist")).alias("c"), share(F.col("word_hist")).alias("w"))
     by_lang = cut(sums(shares, ["lang"]))
-    named = by_lang.where(F.col("lang").isNotNull()).orderBy(F.desc("docs"), "lang").limit(max_languages - 1)
-    pooled = by_lang.groupBy().agg(
-        F.array(*[F.sum(F.col("ref_char")[i]) for i in range(n_c)]).alias("ref_char"), F.array(*[F.sum(F.col("ref_word")[i]) for i in range(n_w)]).alias("ref_word")
-    )
-    return named.select("lang", "ref_char", "ref_word").unionByName(pooled.select(F.lit(None).cast("string").alias("lang"), "ref_char", "ref_word"))
+    r = by_lang.agg(*[F.sum(F.col("ref_char")[i]) for i in range(n_c)], *[F.sum(F.col("ref_word")[i]) for i in range(n_w)]).first()
+    pooled = [x or 0.0 for x in r]
+    return by_lang.where(F.col("lang").isNotNull()).select(F.col("lang").alias("ref_lang"), "ref_char", "ref_word"), (pooled[:n_c], pooled[n_c:])
 
 
-def judge(docs: DataFrame, max_char_distance: float = 0.25, word_distance: tuple[float, float] = (0.25, 1.5), min_chars: int = 200, min_words: int = 80, max_languages: int = 256, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, max_char_distance: float = 0.25, word_distance: tuple[float, float] = (0.25, 1.5), min_chars: int = 200, min_words: int = 80, broadcast_languages: int = 256, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, lang, the base columns, char_distance, word_distance, kept, for every row of docs.
 
     kept is false for a document that fails the base rules, that has at least min_chars characters in
     words and a character-class distance above max_char_distance, or at least min_words words and a
     common-word distance above word_distance[0] + word_distance[1] / sqrt(n_words): the sampling noise of
     a histogram falls with the root of its size. A null or empty text has no words and fails the base
-    rules. A null or rare language is compared with all documents together. Repeated rows are judged
-    alike, an empty table gives no rows. carry: the columns of docs that pass through (one named like a new column
+    rules. A language is compared with its own documents, however many languages there are (more than broadcast_languages are
+    joined without a broadcast); a null one, or one of which no document passes the base rules, with all documents together.
+    Very long texts are read whole. Repeated rows are judged alike, an empty table gives no rows. carry: the columns of docs that pass through (one named like a new column
     gives way); others are ignored.
     """
     new = {"lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_hist", "word_hist", "char_distance", "word_distance", "kept"}
     feats = cut(features(docs, [c for c in carry if c not in new]))
-    refs = language_references(feats, max_languages).collect()
-    spark = docs.sparkSession
-    rows = [(r["lang"], list(r["ref_char"]), list(r["ref_word"])) for r in refs if r["ref_char"] and r["ref_char"][0] is not None]
-    table = spark.createDataFrame(rows, "ref_lang string, ref_char array<double>, ref_word array<double>")
-    pooled = next((r for r in rows if r[0] is None), (None, [0.0] * len(CLASSES), [0.0] * (len(BINS) + 1)))
+    table, pooled = language_references(feats)
+    if table.limit(broadcast_languages + 1).count() <= broadcast_languages:
+        table = F.broadcast(table)
     as_array = lambda xs: F.array(*[F.lit(x) for x in xs])
-    d = feats.join(F.broadcast(table.where(F.col("ref_lang").isNotNull())), F.col("lang") == F.col("ref_lang"), "left")
-    d = d.withColumn("char_distance", F.round(js_distance(F.col("char_hist"), F.coalesce("ref_char", as_array(pooled[1]))), 6)).withColumn(
-        "word_distance", F.round(js_distance(F.col("word_hist"), F.coalesce("ref_word", as_array(pooled[2]))), 6)
+    d = feats.join(table, F.col("lang") == F.col("ref_lang"), "left")
+    d = d.withColumn("char_distance", F.round(js_distance(F.col("char_hist"), F.coalesce("ref_char", as_array(pooled[0]))), 6)).withColumn(
+        "word_distance", F.round(js_distance(F.col("word_hist"), F.coalesce("ref_word", as_array(pooled[1]))), 6)
     )
     odd_chars = (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance)
     odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > word_distance[0] + word_distance[1] / F.sqrt("n_words"))
