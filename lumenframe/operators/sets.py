@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folders import work_folder
+
 
 def bag_difference(baseline: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
     """key, delta of tokens whose count in candidate is not that in baseline."""
@@ -57,6 +59,7 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> Dat
 
     Breadth first: each round joins the newest nodes only and is cut from its lineage, so plans stay small.
     """
+    work_folder(roots.sparkSession)
     seen = roots.select("root", F.col("root").alias("node")).distinct()
     newest = seen
     for _ in range(max_rounds):
@@ -65,6 +68,8 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> Dat
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest).checkpoint()
+    else:
+        raise RuntimeError(f"nodes are still found after {max_rounds} rounds")
     return seen
 
 

@@ -302,13 +302,13 @@ def q_render_params(spark, d):
 _ORIENT = ["x, y", "63 - x, y", "63 - x, 49 - y", "x, 49 - y", "y, x", "49 - y, x", "49 - y, 63 - x", "y, 63 - x"]
 
 
-@query(f"WITH {PX} " + " UNION ALL ".join(f"SELECT {k + 1} AS orientation, frame_id, {e.split(',')[0]} AS x, {e.split(',')[1]} AS y, v FROM px WHERE frame_id = 1" for k, e in enumerate(_ORIENT)))
+@query(f"WITH {PX} " + " UNION ALL ".join(f"SELECT {k + 1} AS orientation, frame_id, {e.split(',')[0]} AS x, {e.split(',')[1]} AS y, v FROM px" for k, e in enumerate(_ORIENT)))
 def q_orient(spark, d):
-    one = pixels(spark, d).where("frame_id = 1")
+    every = pixels(spark, d)
     out = None
     for k in range(1, 9):
         x, y = px.oriented(F.col("x"), F.col("y"), WIDTH, HEIGHT, k)
-        part = one.select(F.lit(k).alias("orientation"), "frame_id", x.alias("x"), y.alias("y"), "v")
+        part = every.select(F.lit(k).alias("orientation"), "frame_id", x.alias("x"), y.alias("y"), "v")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -415,24 +415,24 @@ _SITES = "[" + ", ".join(map(str, SIX_BY_SIX)) + "]"
 @query(
     f"""WITH {PX}, taps AS (SELECT a.frame_id, a.y, a.x, a.v AS own, b.v, 1.0::DOUBLE / (1 + dx * dx + dy * dy) AS w,
 {_SITES}[CAST(((a.y + dy) % 6 + 6) % 6 * 6 + ((a.x + dx) % 6 + 6) % 6 + 1 AS INT)] AS site, {_SITES}[CAST(a.y % 6 * 6 + a.x % 6 + 1 AS INT)] AS here
-FROM px a, range(-2, 3) t(dy), range(-2, 3) u(dx), px b WHERE a.frame_id < 3 AND b.frame_id = a.frame_id AND b.y = {_wrap('(a.y + dy)', HEIGHT, 6)} AND b.x = {_wrap('(a.x + dx)', WIDTH, 6)}),
+FROM px a, range(-2, 3) t(dy), range(-2, 3) u(dx), px b WHERE b.frame_id = a.frame_id AND b.y = {_wrap('(a.y + dy)', HEIGHT, 6)} AND b.x = {_wrap('(a.x + dx)', WIDTH, 6)}),
 s AS (SELECT frame_id, y, x, any_value(own) AS own, any_value(here) AS here, sum(w * v) FILTER (site = 0) AS tr, sum(w) FILTER (site = 0) AS wr, sum(w * v) FILTER (site = 1) AS tg, sum(w) FILTER (site = 1) AS wg, sum(w * v) FILTER (site = 2) AS tb, sum(w) FILTER (site = 2) AS wb FROM taps GROUP BY 1, 2, 3)
 SELECT frame_id, y, x, """
     + ", ".join(f"CASE WHEN here = {k} THEN own ELSE CAST(floor(round(coalesce(t{c}, 0) / greatest(coalesce(w{c}, 0), 0.000001), 6) + 0.5) AS INT) END AS {c}" for k, c in enumerate("rgb"))
     + " FROM s"
 )
 def q_xtrans_demosaic(spark, d):
-    return stencil.mosaic_average(stencil.scan_lines(pixels(spark, d).where("frame_id < 3")), SIX_BY_SIX)
+    return stencil.mosaic_average(stencil.scan_lines(pixels(spark, d)), SIX_BY_SIX)
 
 
 def _warp_places(spark, d) -> DataFrame:
     sx, sy = stencil.warp_source(F.col("x").cast("double"), F.col("y").cast("double"), WIDTH, HEIGHT, RADIAL, TANGENTIAL)
-    return pixels(spark, d).where("frame_id < 3").select("frame_id", "y", "x", sx.alias("sx"), sy.alias("sy"))
+    return pixels(spark, d).select("frame_id", "y", "x", sx.alias("sx"), sy.alias("sy"))
 
 
 _CX, _CY = (WIDTH - 1) / 2, (HEIGHT - 1) / 2
 _RADIUS = (_CX * _CX + _CY * _CY) ** 0.5
-WARP = f"""{PX}, n AS (SELECT frame_id, y, x, (x - {_CX}::DOUBLE) / {_RADIUS!r}::DOUBLE AS nx, (y - {_CY}::DOUBLE) / {_RADIUS!r}::DOUBLE AS ny FROM px WHERE frame_id < 3),
+WARP = f"""{PX}, n AS (SELECT frame_id, y, x, (x - {_CX}::DOUBLE) / {_RADIUS!r}::DOUBLE AS nx, (y - {_CY}::DOUBLE) / {_RADIUS!r}::DOUBLE AS ny FROM px),
 rr AS (SELECT *, least(nx * nx + ny * ny, 1.0::DOUBLE) AS rr FROM n),
 place AS (SELECT frame_id, y, x, {_CX}::DOUBLE + {_RADIUS!r}::DOUBLE * (nx * ratio + (-0.0005::DOUBLE * (rr + 2 * nx * nx) + 2 * 0.001::DOUBLE * nx * ny)) AS sx,
   {_CY}::DOUBLE + {_RADIUS!r}::DOUBLE * (ny * ratio + (0.001::DOUBLE * (rr + 2 * ny * ny) + 2 * (-0.0005::DOUBLE) * nx * ny)) AS sy
@@ -467,7 +467,7 @@ warped AS (SELECT frame_id, y, x, CAST(floor(greatest(0.0, least(65535.0, round(
 def q_warp_bicubic(spark, d):
     tw, th = stencil.tile_side(WIDTH, 32), stencil.tile_side(HEIGHT, 32)
     places = _warp_places(spark, d)
-    return stencil.warp_bicubic(stencil.scan_lines(pixels(spark, d).where("frame_id < 3")), places, stencil.tile_bounds(places, tw, th, WIDTH, HEIGHT), tw, th, WIDTH, HEIGHT)
+    return stencil.warp_bicubic(stencil.scan_lines(pixels(spark, d)), places, stencil.tile_bounds(places, tw, th, WIDTH, HEIGHT), tw, th, WIDTH, HEIGHT)
 
 
 @query(f"WITH {_bicubic('dem', 'g').replace(PX, BAYER, 1)} SELECT * FROM warped")
@@ -475,7 +475,7 @@ def q_demosaic_warp(spark, d):
     """Green of the demosaiced frames, warped: two operators in a row, without a step between them."""
     tw, th = stencil.tile_side(WIDTH, 32), stencil.tile_side(HEIGHT, 32)
     places = _warp_places(spark, d)
-    green = stencil.scan_lines(demosaiced(spark, d).where("frame_id < 3"), "g")
+    green = stencil.scan_lines(demosaiced(spark, d), "g")
     return stencil.warp_bicubic(green, places, stencil.tile_bounds(places, tw, th, WIDTH, HEIGHT), tw, th, WIDTH, HEIGHT)
 
 

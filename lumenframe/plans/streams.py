@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..operators.folders import work_folder
 from ..sources.fixtures import jobs, table
 from ..streaming import jobs as streams
 from .registry import query
 
 
-def _folder(spark) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="lumenframe-stream-")
-
-
 def _stream(spark, d, name: str):
     return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parq*")
 
@@ -23,13 +17,13 @@ def _stream(spark, d, name: str):
 @query()
 def q_stream_idle_shrink(spark, d):
     e = _stream(spark, d, "events").select((F.col("user_id") % 16).alias("pool"), F.col("ts").cast("timestamp").alias("ts"))
-    return streams.drained(streams.idle_sessions(e, "pool", "ts", "10 minutes", "1 hour"), "append", _folder(spark))
+    return streams.drained(streams.idle_sessions(e, "pool", "ts", "10 minutes", "1 hour"), "append", work_folder(spark))
 
 
 @query()
 def q_stream_generation(spark, d):
     j = jobs_of(_stream(spark, d, "lineitem"))
-    out = streams.drained(streams.newest_generation(j, "path", "seq"), "update", _folder(spark))
+    out = streams.drained(streams.newest_generation(j, "path", "seq"), "update", work_folder(spark))
     return out.groupBy("path").agg(F.max("joined").alias("joined"), F.max("generation").alias("generation"))
 
 

@@ -87,4 +87,7 @@ MAGICS = [
     "00000020" + _text("ftypavif") + "00000000",
     "0000001C" + _text("ftypisom") + "00000000" + _text("mp41heic") + _text("isom"),
     "",
+    # containers whose major brand is not known: heic, then avif; and one known brand behind an unknown one
+    "0000001C" + _text("ftypmif9") + "00000000" + _text("heicavif") + "00000000",
+    "0000001C" + _text("ftypmif9") + "00000000" + _text("qt  avis") + "00000000",
 ]

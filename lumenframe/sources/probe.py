@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PROBE_BYTES = 512
+STILL_BYTES = 32
 
 # Opening bytes of generic raw containers, by place.
 RAW_MAGICS = ["FUJIFILMCCD-RAW", "\x00MRM", "IIU\x00", "IIRO", "IIRS", "FOVb"]
@@ -37,13 +38,14 @@ def number(digits: Column, little: Column, n: int) -> Column:
 
 
 def has_tag(hex_: Column, tag: int) -> Column:
-    """Whether the first TIFF directory has the tag inside the bytes given."""
+    """Whether the first TIFF directory has the tag inside the bytes given; false for bytes that are no TIFF header."""
     little = at(hex_, 0, 2) == "4949"
     size = F.length(hex_) / 2
     start = number(at(hex_, 4, 4), little, 4)
     entries = F.when(start + 2 <= size, number(at(hex_, F.least(start, F.lit(PROBE_BYTES)), 2), little, 2)).otherwise(0)
     places = F.filter(F.transform(F.sequence(F.lit(0), F.least(entries, F.lit(PROBE_BYTES // 12)) - F.when(entries > 0, 1).otherwise(0)), lambda k: start + 2 + 12 * k), lambda p: p + 12 <= size)
-    return (entries > 0) & F.exists(places, lambda p: number(at(hex_, p, 2), little, 2) == tag)
+    tiff = (little | (at(hex_, 0, 2) == "4D4D")) & (number(at(hex_, 2, 2), little, 2) == 42)
+    return F.coalesce(tiff & (entries > 0) & F.exists(places, lambda p: number(at(hex_, p, 2), little, 2) == tag), F.lit(False))
 
 
 def raw_route(hex_: Column) -> Column:
@@ -60,20 +62,21 @@ def raw_route(hex_: Column) -> Column:
 
 
 def still_format(hex_: Column) -> Column:
-    """jpeg, webp, jxl, avif, heic or unknown. Among compatible brands, those of AVIF come first."""
+    """jpeg, webp, jxl, avif, heic or unknown, from the first 32 bytes; unknown for fewer than 12.
+
+    Of a container the major brand decides, else the first compatible brand that is known, else it counts as heic.
+    """
     n = (F.length(hex_) / 2).cast("int")
     brand = at(hex_, 8, 4)
     box = F.conv(at(hex_, 0, 4), 16, 10).cast("long")
-    limit = F.least(n.cast("long"), box)
-    brands = F.transform(F.sequence(F.lit(4), F.lit(31)), lambda k: F.when((k * 4 + 4).cast("long") <= limit, at(hex_, k * 4, 4)))
-    hexes = lambda xs: [hexed(x) for x in xs]
-    has = lambda xs: F.exists(brands, lambda b: F.coalesce(b.isin(hexes(xs)), F.lit(False)))
-    ftyp = (
-        F.when(brand.isin(hexes(AVIF_BRANDS)), "avif").when(brand.isin(hexes(HEIC_BRANDS)), "heic").when(has(AVIF_BRANDS), "avif").otherwise("heic")
-    )
+    limit = F.least(n.cast("long"), F.lit(STILL_BYTES), box)
+    known = [hexed(x) for x in AVIF_BRANDS + HEIC_BRANDS]
+    brands = F.array(brand, *[F.when(F.lit(k + 4) <= limit, at(hex_, k, 4)) for k in range(16, STILL_BYTES, 4)])
+    first = F.get(F.filter(brands, lambda b: F.coalesce(b.isin(known), F.lit(False))), 0)
+    ftyp = F.when(first.isin([hexed(x) for x in AVIF_BRANDS]), "avif").otherwise("heic")
     return (
-        F.when(hex_.startswith("FFD8FF"), "jpeg")
-        .when(n < 12, "unknown")
+        F.when(n < 12, "unknown")
+        .when(hex_.startswith("FFD8FF"), "jpeg")
         .when((at(hex_, 0, 4) == hexed("RIFF")) & (brand == hexed("WEBP")), "webp")
         .when(hex_.startswith("FF0A") | hex_.startswith("0000000C4A584C200D0A870A"), "jxl")
         .when(at(hex_, 4, 4) == hexed("ftyp"), ftyp)
@@ -99,9 +102,11 @@ def probe_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def key_values(line: Column) -> Column:
-    """The key=value tokens of a line as a map; tokens without = are left out."""
+    """The key=value tokens of a line as a map; of a repeated key the last counts, tokens without = are left out."""
     pairs = F.filter(F.split(line, " +"), lambda t: t.contains("="))
-    return F.map_from_entries(F.transform(pairs, lambda t: F.struct(F.substring_index(t, "=", 1), F.regexp_replace(t, "^[^=]*=", ""))))
+    key = lambda t: F.substring_index(t, "=", 1)
+    last = lambda k: F.element_at(F.filter(pairs, lambda t: key(t) == k), -1)
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, key)), lambda k: F.struct(k, F.regexp_replace(last(k), "^[^=]*=", ""))))
 
 
 def dims_from_name(name: Column) -> tuple[Column, Column, Column]:

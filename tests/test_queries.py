@@ -50,3 +50,19 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_probe_rules(spark):
+    """The first known brand decides; under 12 bytes nothing is known; of a repeated key the last value counts."""
+    from pyspark.sql import functions as F
+
+    from lumenframe.sources import probe
+
+    box = lambda major, *brands: "0000002C" + f"ftyp{major}".encode().hex().upper() + "00000000" + "".join(b.encode().hex().upper() for b in brands) + "00" * 20
+    rows = [box("mif9", "heic", "avif"), box("mif9", "avif", "heic"), box("mif1", "avif"), box("avis", "heic"), box("zzzz", "qt  ", "mp41", "isom", "zzzz", "avif"), "FFD8FFE0", "FFD8FFE0" + "00" * 8, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, h string")
+    got = [r[0] for r in df.orderBy("k").select(probe.still_format(F.col("h"))).collect()]
+    assert got == ["heic", "avif", "heic", "avif", "heic", "unknown", "jpeg", "unknown"]
+    assert not any(r[0] for r in df.select(probe.has_tag(F.col("h"), probe.DNG_VERSION_TAG)).collect())
+    lines = spark.createDataFrame([("x a=1 b=2 a=3 c d==",), ("",)], "line string").select(probe.key_values(F.col("line")).alias("m")).collect()
+    assert [r["m"] for r in lines] == [{"a": "3", "b": "2", "d": "="}, {}]
