@@ -201,15 +201,17 @@ def q_registry_diff(spark, d):
 
 
 @query(
-    "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer) SELECT k, 'left only' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'right only' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)"
+    "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT k, 'left only' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'right only' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)"
 )
 def q_manifest_diff(spark, d):
-    return sets.only_in_one(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
+    """Customers with an urgent order against those outside one market."""
+    return sets.only_in_one(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k")), "k")
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def q_except(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+    """Customers without an urgent order."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT DISTINCT n_name AS name FROM nation UNION SELECT r_name FROM region")
