@@ -6,10 +6,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontaminate, graph, html_text, langid, licenses, line_dedup, mixing, near_dedup, pii, quality, queries, url_rules
+from lumenframe.llm import decontaminate, edits, graph, html_text, langid, licenses, line_dedup, mixing, near_dedup, pii, quality, queries, url_rules
 
 SPACE_WORD = re.compile("[^\x20\x09-\x0d]+")
 ALNUM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -186,6 +187,25 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def test_edit_distances_in_batches():
+    """Batched, bounded edit distances against the textbook table, at block borders and beyond ASCII."""
+    rng = random.Random(1)
+    left, right = ["", "", "a", "same"], ["", "a", "", "same"]
+    for _ in range(300):
+        n = rng.choice([1, 5, 30, 63, 64, 65, 128, 200, 260, 400])
+        a = [rng.choice("abcdé漢") for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.choice([n // 8, n // 5, n // 4, n])):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "b", "cd"])
+        left.append("".join(a))
+        right.append("".join(b))
+    want = [edit_distance(a, b) <= int((1 - 0.8) * max(len(a), len(b)) + 1e-9) for a, b in zip(left, right, strict=True)]
+    assert edits.within(pa.array(left), pa.array(right), 0.8).tolist() == want
+    assert 0.1 < sum(want) / len(want) < 0.9
+    assert edits.within(pa.array([], pa.string()), pa.array([], pa.string()), 0.8).tolist() == []
+
+
 def test_line_dedup(spark):
     rng = random.Random(8)
     base = [f"tok{rng.randrange(400)}" for _ in range(60)]
