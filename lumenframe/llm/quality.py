@@ -41,14 +41,16 @@ def total(xs: Column, kind: str = "long") -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in 3-word windows found twice or more.
 
-    Windows are compared by 64-bit hashes, sorted with their places; equal neighbours repeat. Each place
-    then covers three words, less what the next place covers too.
+    Windows are compared by 64-bit hashes. Where all differ nothing repeats; else they are sorted with their places, and equal
+    neighbours repeat. Each place then covers three words, less what the next place covers too.
     """
-    windows = lambda w: F.slice(F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    windows = lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     twice = lambda s: F.filter(s, lambda x, k: F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)) | F.coalesce((k > 0) & (F.get(s, k - 1)["h"] == x["h"]), F.lit(False)))
     covered = lambda p: total(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))))
-    places = let(F.sort_array(let(words, windows)), lambda s: F.transform(twice(s), lambda x: x["i"]))
-    return let(F.sort_array(places), covered)
+    places = lambda h: let(placed(h), lambda s: F.transform(twice(s), lambda x: x["i"]))
+    spread = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(F.sort_array(places(h)), covered))
+    return let(let(words, windows), spread)
 
 
 def counted(text: Column, pattern: str) -> Column:
@@ -61,8 +63,9 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     tokens = F.split(F.lower(text), r"[^\p{L}]+")
     hits = F.filter(tokens, lambda t: t.isin(BINS))
-    # Common words, each in its own brackets, so that removing one shortens the string by its length.
-    tagged = F.array_join(F.transform(hits, lambda t: F.concat(F.lit("<"), t, F.lit(">"))), "")
+    # Common words by their place in BINS: comparing numbers costs far less than searching a string for each word.
+    bins = F.array(*[F.lit(w) for w in BINS])
+    numbers = F.transform(hits, lambda t: F.array_position(bins, t).cast("int"))
     d = docs.select(*carry, F.col("lang").alias("__lang"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     d = d.withColumn("__words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
     d = d.withColumn("__base", F.struct(
@@ -78,7 +81,7 @@ def features(docs: DataFrame, carry: list[str]) -> DataFrame:
         counted(text, "[0-9]").alias("digit"),
         counted(text, r"""[.,;:!?'"()-]""").alias("punctuation"),
         F.size(tokens).cast("double").alias("n_tokens"),
-        let(tagged, lambda s: F.array(*[((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(f"<{w}>"), F.lit("")))) / F.lit(float(len(w) + 2))) for w in BINS])).alias("common"),
+        let(numbers, lambda x: F.array(*[(F.size(x) - F.size(F.array_remove(x, F.lit(i + 1)))).cast("double") for i in range(len(BINS))])).alias("common"),
     ))
     b = F.col("__base")
     space = b["n"] - b["word_chars"]
