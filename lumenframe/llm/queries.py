@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, licenses, line_dedup, mixing, near_dedup, pii, quality, url_rules
+from . import decontaminate, html_text, langid, licenses, line_dedup, mixing, near_dedup, pii, quality, resample, sharding, url_rules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law is `rows`: counts of shards differ by one at most."""
+    placed = sharding.interleave(table(spark, sf_dir, "documents")).drop("fraction")
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -69,9 +84,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_license_scan,
             op9_html_text,
             op10_mix_sources,
+            op11_shards,
+            op12_whiten,
+            op13_resample,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.ORACLE}
+    return {"op10_mix_sources": mixing.ORACLE, "op11_shards": sharding.ORACLE, "op13_resample": resample.ORACLE}
