@@ -111,39 +111,6 @@ def tile_bounds(places: DataFrame, tile_w: int, tile_h: int, width: int, height:
     )
 
 
-def cubic(x: Column, a: float = -0.75) -> Column:
-    d = F.abs(x)
-    return F.when(d >= 2, 0.0).when(d >= 1, ((a * d - 5.0 * a) * d + 8.0 * a) * d - 4.0 * a).otherwise(((a + 2.0) * d - (a + 3.0)) * d * d + 1.0)
-
-
-def warp_bicubic(lines: DataFrame, places: DataFrame, bounds: DataFrame, tile_w: int, tile_h: int, width: int, height: int, phases: int = 32) -> DataFrame:
-    """frame_id, y, x, v: values at sx, sy by 4 x 4 cubic taps at 1/phases steps.
-
-    A base outside its tile's bounds is clamped and loses its fraction. Each output pixel asks for its four source
-    lines by an equi-join on (frame_id, line), and reads its four columns from the line.
-    """
-    on_tile = (F.floor(F.col("x") / tile_w) == F.col("tx")) & (F.floor(F.col("y") / tile_h) == F.col("ty"))
-    p = places.join(bounds, on_tile & (places["frame_id"] == bounds["frame_id"])).drop(bounds["frame_id"])
-    for s, lo, hi, base, part in (("sx", "x_lo", "x_hi", "bx", "fx"), ("sy", "y_lo", "y_hi", "by", "fy")):
-        raw = F.floor(s) - 1
-        inside = (raw >= F.col(lo)) & (raw <= F.col(hi))
-        phase = F.least(F.lit(phases - 1), F.floor((F.col(s) - F.floor(s)) * phases)) / float(phases)
-        p = p.withColumn(base, F.greatest(F.col(lo), F.least(F.col(hi), raw))).withColumn(part, F.when(inside, phase).otherwise(0.0))
-    p = p.select("frame_id", "y", "x", "bx", "by", "fx", "fy", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    p = p.withColumn("line_no", F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("by") + F.col("k"))).cast("int"))
-    source = lines.select(F.col("frame_id").alias("source_id"), F.col("y").alias("source_y"), "line")
-    taps = p.join(source, (F.col("frame_id") == F.col("source_id")) & (F.col("line_no") == F.col("source_y")))
-    weights = lambda part: [cubic(F.lit(float(k - 1)) - F.col(part)) for k in range(4)]
-    wx, wy = weights("fx"), weights("fy")
-    column = lambda k: F.get("line", F.greatest(F.lit(0), F.least(F.lit(width - 1), F.col("bx") + k)).cast("int"))
-    row = ((wx[0] * column(0) + wx[1] * column(1)) + wx[2] * column(2)) + wx[3] * column(3)
-    row = row / (((wx[0] + wx[1]) + wx[2]) + wx[3])
-    down = F.when(F.col("k") == 0, wy[0]).when(F.col("k") == 1, wy[1]).when(F.col("k") == 2, wy[2]).otherwise(wy[3]) / (((wy[0] + wy[1]) + wy[2]) + wy[3])
-    summed = taps.select("frame_id", "y", "x", "k", (down * row).alias("part")).groupBy("frame_id", "y", "x").agg(*[F.max(F.when(F.col("k") == k, F.col("part"))).alias(f"p{k}") for k in range(4)])
-    total = F.round(((F.col("p0") + F.col("p1")) + F.col("p2")) + F.col("p3"), 6)
-    return summed.select("frame_id", "y", "x", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(65535.0), total + 0.5))).cast("int").alias("v"))
-
-
 def halved_chroma(planes: DataFrame, width: int, height: int) -> DataFrame:
     """frame_id, y, x, cb, cr at half size. An odd edge counts twice; the rounding bias alternates by column."""
     x, y = F.expr("x div 2"), F.expr("y div 2")
@@ -157,3 +124,19 @@ def halved_chroma(planes: DataFrame, width: int, height: int) -> DataFrame:
 def box_cell(c: Column, extent: int, cells: int) -> Column:
     """The cell [k extent div cells, (k + 1) extent div cells) that holds a coordinate."""
     return F.floor(((c + 1) * cells - 1) / extent).cast("int")
+
+
+def planes_420(full: DataFrame, width: int, height: int) -> DataFrame:
+    """plane, frame_id, y, x, v: luma at full size and both chromas at half size, from one shuffle.
+
+    full: frame_id, y, x, luma, cb, cr. The four pixels of a block meet once; they leave as up to four lumas and two chromas. Chroma as
+    in halved_chroma: an odd edge counts twice, and the rounding bias alternates by column.
+    """
+    alone = lambda c, extent: F.when((F.col(c) == extent - 1) & F.lit(extent % 2 == 1), 2).otherwise(1)
+    weight = alone("x", width) * alone("y", height)
+    block = full.groupBy("frame_id", F.expr("cast(y div 2 as int)").alias("by"), F.expr("cast(x div 2 as int)").alias("bx")).agg(
+        F.collect_list(F.struct(F.lit("y").alias("plane"), F.col("y").alias("y"), F.col("x").alias("x"), F.col("luma").alias("v"))).alias("lumas"), F.sum(F.col("cb") * weight).alias("cb"), F.sum(F.col("cr") * weight).alias("cr")
+    )
+    chroma = lambda c: F.struct(F.lit(c).alias("plane"), F.col("by").alias("y"), F.col("bx").alias("x"), F.shiftright(F.col(c) + 1 + F.col("bx") % 2, 2).cast("int").alias("v"))
+    every = block.select("frame_id", F.explode(F.concat("lumas", F.array(chroma("cb"), chroma("cr")))).alias("s"))
+    return every.select("s.plane", "frame_id", "s.y", "s.x", "s.v")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixel as px
-from ..operators import metrics, stencil
+from ..operators import metrics, stencil, warp
 from ..sources.fixtures import HEIGHT, WIDTH, pixels, table, triples
 from .registry import query
 
@@ -64,11 +64,14 @@ def q_normalize_cfa(spark, d):
     return normalised_mosaic(spark, d)
 
 
-@query(
-    "WITH " + RGB + ", n AS (SELECT frame_id, y, x, "
+LINEAR_SQL = (
+    ", n AS (SELECT frame_id, y, x, "
     + ", ".join(f"CAST(floor(greatest(0::FLOAT, least(65535::FLOAT, ({c}::FLOAT - {b}::FLOAT) * (65535.0::DOUBLE / (60000 - 520))::FLOAT)) + 0.5::FLOAT) AS INT) AS {c}" for c, b in zip("rgb", (512, 516, 520), strict=True))
-    + " FROM rgb) SELECT * FROM n"
+    + " FROM rgb)"
 )
+
+
+@query(f"WITH {RGB}{LINEAR_SQL} SELECT * FROM n")
 def q_normalize_linear(spark, d):
     inverse = px.inverse_range(F.lit([512.0, 516.0, 520.0]), F.lit(float(WHITE)))
     return with_rgb(triples(spark, d), [px.normalised(c, F.lit(b), inverse, rounded=True) for c, b in zip(rgb_columns(), (512, 516, 520), strict=True)])
@@ -412,15 +415,18 @@ def q_bayer_bilinear(spark, d):
 _SITES = "[" + ", ".join(map(str, SIX_BY_SIX)) + "]"
 
 
-@query(
-    f"""WITH {PX}, taps AS (SELECT a.frame_id, a.y, a.x, a.v AS own, b.v, 1.0::DOUBLE / (1 + dx * dx + dy * dy) AS w,
+SIX_SQL = (
+    f"""{PX}, taps AS (SELECT a.frame_id, a.y, a.x, a.v AS own, b.v, 1.0::DOUBLE / (1 + dx * dx + dy * dy) AS w,
 {_SITES}[CAST(((a.y + dy) % 6 + 6) % 6 * 6 + ((a.x + dx) % 6 + 6) % 6 + 1 AS INT)] AS site, {_SITES}[CAST(a.y % 6 * 6 + a.x % 6 + 1 AS INT)] AS here
 FROM px a, range(-2, 3) t(dy), range(-2, 3) u(dx), px b WHERE b.frame_id = a.frame_id AND b.y = {_wrap('(a.y + dy)', HEIGHT, 6)} AND b.x = {_wrap('(a.x + dx)', WIDTH, 6)}),
-s AS (SELECT frame_id, y, x, any_value(own) AS own, any_value(here) AS here, sum(w * v) FILTER (site = 0) AS tr, sum(w) FILTER (site = 0) AS wr, sum(w * v) FILTER (site = 1) AS tg, sum(w) FILTER (site = 1) AS wg, sum(w * v) FILTER (site = 2) AS tb, sum(w) FILTER (site = 2) AS wb FROM taps GROUP BY 1, 2, 3)
-SELECT frame_id, y, x, """
+s AS (SELECT frame_id, y, x, any_value(own) AS own, any_value(here) AS here, sum(w * v) FILTER (site = 0) AS tr, sum(w) FILTER (site = 0) AS wr, sum(w * v) FILTER (site = 1) AS tg, sum(w) FILTER (site = 1) AS wg, sum(w * v) FILTER (site = 2) AS tb, sum(w) FILTER (site = 2) AS wb FROM taps GROUP BY 1, 2, 3),
+six AS (SELECT frame_id, y, x, """
     + ", ".join(f"CASE WHEN here = {k} THEN own ELSE CAST(floor(round(coalesce(t{c}, 0) / greatest(coalesce(w{c}, 0), 0.000001), 6) + 0.5) AS INT) END AS {c}" for k, c in enumerate("rgb"))
-    + " FROM s"
+    + " FROM s)"
 )
+
+
+@query(f"WITH {SIX_SQL} SELECT * FROM six")
 def q_xtrans_demosaic(spark, d):
     return stencil.mosaic_average(stencil.scan_lines(pixels(spark, d)), SIX_BY_SIX)
 
@@ -454,29 +460,40 @@ def q_warp_tile_bounds(spark, d):
 _CUBIC = "(CASE WHEN abs({d}) >= 2 THEN 0.0 WHEN abs({d}) >= 1 THEN ((-0.75::DOUBLE * abs({d}) + 3.75::DOUBLE) * abs({d}) - 6.0::DOUBLE) * abs({d}) + 3.0::DOUBLE ELSE (1.25::DOUBLE * abs({d}) - 2.25::DOUBLE) * abs({d}) * abs({d}) + 1.0::DOUBLE END)"
 
 
+_SUMMED = "CAST(floor(greatest(0.0, least(65535.0, round(sum(wx * wy * v) / sum(wx * wy), 6) + 0.5))) AS INT) AS v"
+
+
 def _bicubic(source: str, value: str) -> str:
     return WARP + f""", base AS (SELECT p.frame_id, p.y, p.x, floor(sx) - 1 AS rx, floor(sy) - 1 AS ry, least(31, floor((sx - floor(sx)) * 32)) / 32.0::DOUBLE AS px_, least(31, floor((sy - floor(sy)) * 32)) / 32.0::DOUBLE AS py_, x_lo, x_hi, y_lo, y_hi
   FROM place p JOIN bounds b ON p.frame_id = b.frame_id AND p.y // 25 = b.ty AND p.x // 32 = b.tx),
 fit AS (SELECT frame_id, y, x, greatest(x_lo, least(x_hi, rx)) AS bx, greatest(y_lo, least(y_hi, ry)) AS by_, CASE WHEN rx BETWEEN x_lo AND x_hi THEN px_ ELSE 0.0 END AS fx, CASE WHEN ry BETWEEN y_lo AND y_hi THEN py_ ELSE 0.0 END AS fy FROM base),
 tap AS (SELECT f.frame_id, f.y, f.x, {_CUBIC.format(d='(i - 1 - fx)')} AS wx, {_CUBIC.format(d='(j - 1 - fy)')} AS wy, s.{value} AS v FROM fit f, range(0, 4) a(i), range(0, 4) b(j), {source} s
   WHERE s.frame_id = f.frame_id AND s.x = greatest(0, least({WIDTH - 1}, bx + i)) AND s.y = greatest(0, least({HEIGHT - 1}, by_ + j))),
-warped AS (SELECT frame_id, y, x, CAST(floor(greatest(0.0, least(65535.0, round(sum(wx * wy * v) / sum(wx * wy), 6) + 0.5))) AS INT) AS v FROM tap GROUP BY 1, 2, 3)"""
+warped AS (SELECT frame_id, y, x, {_SUMMED} FROM tap GROUP BY 1, 2, 3)"""
 
 
 @query(f"WITH {_bicubic('px', 'v')} SELECT * FROM warped")
 def q_warp_bicubic(spark, d):
-    tw, th = stencil.tile_side(WIDTH, 32), stencil.tile_side(HEIGHT, 32)
-    places = _warp_places(spark, d)
-    return stencil.warp_bicubic(stencil.scan_lines(pixels(spark, d)), places, stencil.tile_bounds(places, tw, th, WIDTH, HEIGHT), tw, th, WIDTH, HEIGHT)
+    return warp.pixels_of(warped(warp.plane_lines(pixels(spark, d), ["v"]), ["v"]), ["v"])
+
+
+GEOMETRY = warp.Geometry(WIDTH, HEIGHT, stencil.tile_side(WIDTH, 32), stencil.tile_side(HEIGHT, 32))
+
+
+def warped(lines: DataFrame, planes: list[str]) -> DataFrame:
+    return warp.warp_lines(lines, planes, [*RADIAL, *TANGENTIAL], GEOMETRY)
 
 
 @query(f"WITH {_bicubic('dem', 'g').replace(PX, BAYER, 1)} SELECT * FROM warped")
 def q_demosaic_warp(spark, d):
     """Green of the demosaiced frames, warped: two operators in a row, without a step between them."""
-    tw, th = stencil.tile_side(WIDTH, 32), stencil.tile_side(HEIGHT, 32)
-    places = _warp_places(spark, d)
-    green = stencil.scan_lines(demosaiced(spark, d), "g")
-    return stencil.warp_bicubic(green, places, stencil.tile_bounds(places, tw, th, WIDTH, HEIGHT), tw, th, WIDTH, HEIGHT)
+    return warp.pixels_of(warped(warp.plane_lines(demosaiced(spark, d), ["g"]), ["g"]), ["g"]).withColumnRenamed("g", "v")
+
+
+@query(f"WITH {_bicubic('dem', 'r, s.g, s.b').replace(PX, BAYER, 1).replace('AS v FROM fit f', 'AS b FROM fit f').replace(_SUMMED, ', '.join(_SUMMED.replace('* v)', f'* {c})').replace('AS v', f'AS {c}') for c in 'rgb'))} SELECT * FROM warped")
+def q_demosaic_warp_rgb(spark, d):
+    """All three planes of the demosaiced frames, warped from one band of lines."""
+    return warp.pixels_of(warped(warp.plane_lines(demosaiced(spark, d), ["r", "g", "b"]), ["r", "g", "b"]), ["r", "g", "b"])
 
 
 @query(f"WITH {BAYER} SELECT frame_id, y - 5 AS y, x - 3 AS x, r, g, b FROM dem WHERE x BETWEEN 3 AND 42 AND y BETWEEN 5 AND 34")

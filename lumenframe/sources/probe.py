@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 PROBE_BYTES = 512
 STILL_BYTES = 32
 
@@ -95,10 +97,10 @@ def route_of_path(path: Column) -> Column:
 
 
 def probe_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, route, still of files by their first bytes."""
-    files = spark.read.format("binaryFile").load(path)
-    head = F.hex(F.substring("content", 1, PROBE_BYTES))
-    return files.select("path", "length", raw_route(head).alias("route"), still_format(head).alias("still"))
+    """path, length, route, still of all files below a folder, of each of which only the first 512 bytes are read."""
+    files.register(spark)
+    heads = spark.read.format("file_heads").option("bytes", PROBE_BYTES).load(path).select("path", "length", F.hex("head").alias("head"))
+    return heads.select("path", "length", raw_route(F.col("head")).alias("route"), still_format(F.col("head")).alias("still"))
 
 
 def key_values(line: Column) -> Column:
