@@ -12,16 +12,22 @@ def drop_cold(log: DataFrame, lane: str = "lane", order: str = "submission") ->
     return log.withColumn("__rank", F.row_number().over(w)).where("__rank > 1").drop("__rank")
 
 
-def interval_union(log: DataFrame, keys: list[str], start: str = "start_us", end: str = "end_us") -> DataFrame:
+def interval_union(log: DataFrame, keys: list[str], start: str = "start_us", end: str = "end_us", span: int = 3_600_000_000) -> DataFrame:
     """keys, islands, union_us: the length covered by intervals. Touching intervals belong together.
 
-    An interval opens a new island if it starts behind everything before it in the order of starts.
+    An interval opens a new island if it starts behind everything before it in the order of starts, and adds what it reaches beyond that. A sweep of two
+    levels: the furthest end of each time slice of span, the furthest end of all slices before it, then the order inside a slice. So a busy
+    key is swept by as many tasks as it has slices; intervals that start at one instant are one before that.
     """
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    opened = log.withColumn("__high", F.max(end).over(before)).withColumn("__new", F.coalesce(F.col(start) > F.col("__high"), F.lit(True)).cast("long"))
-    islands = opened.withColumn("__island", F.sum("__new").over(order)).groupBy(*keys, "__island").agg(F.min(start).alias("lo"), F.max(end).alias("hi"))
-    return islands.groupBy(*keys).agg(F.count("*").alias("islands"), F.sum(F.col("hi") - F.col("lo")).alias("union_us"))
+    one = log.groupBy(*keys, start).agg(F.max(end).alias("__end")).withColumn("__slice", F.floor(F.col(start) / span))
+    slices = one.groupBy(*keys, "__slice").agg(F.max("__end").alias("__high"))
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    reached = slices.select(*keys, "__slice", F.max("__high").over(earlier).alias("__reached"))
+    inside = Window.partitionBy(*keys, "__slice").orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    swept = one.join(reached, [*keys, "__slice"]).withColumn("__before", F.greatest("__reached", F.max("__end").over(inside)))  # greatest skips nulls
+    opens = F.coalesce(F.col(start) > F.col("__before"), F.lit(True))
+    gained = F.greatest(F.lit(0), F.col("__end") - F.greatest(start, "__before"))
+    return swept.groupBy(*keys).agg(F.sum(opens.cast("long")).alias("islands"), F.sum(gained).alias("union_us"))
 
 
 def stage_medians(log: DataFrame) -> DataFrame:
@@ -62,11 +68,19 @@ def parallel_ratio(walls: DataFrame, width: str, wall: str, wide: int = 5) -> Da
     return medians.withColumn("ratio", ratio).withColumn("verdict", ratio_verdict(F.col("ratio")))
 
 
-def high_water(log: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, high_water: the most intervals open at once; at one instant ends come before starts."""
-    steps = log.select(*keys, F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))).alias("s")).select(*keys, "s.t", "s.d")
-    order = Window.partitionBy(*keys).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumn("open", F.sum("d").over(order)).groupBy(*keys).agg(F.max("open").alias("high_water"))
+def high_water(log: DataFrame, keys: list[str], span: int = 3_600_000_000) -> DataFrame:
+    """keys, high_water: the most intervals open at once; at one instant ends come before starts.
+
+    Starts and ends of an instant are added up first, as only their sum can raise the number. Then a sweep of two levels, as in interval_union:
+    sums of time slices, sums of all slices before, the order inside a slice.
+    """
+    ends = F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))
+    steps = log.select(*keys, F.explode(ends).alias("s")).groupBy(*keys, F.col("s.t").alias("t")).agg(F.sum("s.d").alias("d")).withColumn("__slice", F.floor(F.col("t") / span))
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = steps.groupBy(*keys, "__slice").agg(F.sum("d").alias("d")).select(*keys, "__slice", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__slice").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = steps.join(before, [*keys, "__slice"]).withColumn("__open", F.col("__before") + F.sum("d").over(inside))
+    return swept.groupBy(*keys).agg(F.max("__open").alias("high_water"))
 
 
 def slow_latch(log: DataFrame, threshold: float) -> DataFrame:
@@ -87,10 +101,22 @@ def completion_offsets(log: DataFrame, batch: str) -> DataFrame:
     return log.select(batch, (F.row_number().over(order) - 1).cast("long").alias("place"), (F.col("end_us") - F.min("start_us").over(whole)).alias("offset_us"))
 
 
-def first_seen_ids(log: DataFrame, key: str, order: str) -> DataFrame:
-    """key, dense_id: ids from 0 in the order in which keys are first seen. The window sees one row per key."""
+def first_seen_ids(log: DataFrame, key: str, order: str, slices: int = 1024) -> DataFrame:
+    """key, first_seen, dense_id: ids from 0 in the order in which keys are first seen. Null orders count as the first.
+
+    The range of orders is cut into slices; keys are numbered inside a slice, from the number of keys in all slices before it. Only the slices'
+    counts, a bounded number, ever meet in one row.
+    """
     first = log.groupBy(key).agg(F.min(order).alias("first_seen"))
-    return first.withColumn("dense_id", (F.row_number().over(Window.orderBy("first_seen", key)) - 1).cast("long"))
+    ends = first.agg(F.min("first_seen").alias("lo"), F.max("first_seen").alias("hi"))
+    lo, hi = (ends.select(c).scalar().cast("decimal(20,0)") for c in ("lo", "hi"))
+    at = F.floor((F.col("first_seen").cast("decimal(20,0)") - lo) * slices / (hi - lo + 1)).cast("int")
+    placed = first.withColumn("__slice", F.coalesce(at, F.lit(-1)))
+    counts = placed.groupBy("__slice").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("__slice", "n"))).alias("c"))
+    before = F.aggregate(F.slice("c", 1, F.col("pos")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    offsets = counts.select("c", F.posexplode("c").alias("pos", "s")).select(F.col("s.__slice").alias("__slice"), before.alias("__offset"))
+    inside = Window.partitionBy("__slice").orderBy("first_seen", key)
+    return placed.join(offsets, "__slice").select(key, "first_seen", (F.col("__offset") + F.row_number().over(inside) - 1).alias("dense_id"))
 
 
 def uploads(submissions: DataFrame, slot: str, order: str, digest: Column) -> DataFrame:
