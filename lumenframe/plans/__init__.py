@@ -1,6 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-from . import adapter, contracts, exposure, files, images, logs, rendering, streams  # noqa: F401  they register themselves
+from . import adapter, contracts, exposure, files, images, logs, manifests, rendering, streams  # noqa: F401  they register themselves
 from .images import q_decode_full as flagship  # noqa: F401
 from .registry import ORACLE, QUERIES, Query
 
