@@ -82,13 +82,18 @@ def cubic(x: np.ndarray, a: float = -0.75) -> np.ndarray:
     return np.where(d >= 2, 0.0, np.where(d >= 1, far, near))
 
 
-def warp_line(y: int, lo: int, planes: list[np.ndarray], g: Geometry, lens: tuple[float, ...]) -> list[np.ndarray]:
-    """An output line of each plane. planes: the band's lines, from line lo on, as rows."""
+def warp_line(y: int, numbers: np.ndarray, planes: list[np.ndarray], g: Geometry, lens: tuple[float, ...]) -> list[np.ndarray]:
+    """An output line of each plane. planes: the band's lines as rows; numbers: which lines these are, rising.
+
+    A line that the frame lacks drops out of the taps, and the others' weights are scaled up; a pixel without any line is 0.
+    """
     (bx, fx), (by, fy) = taps_of(y, g, lens)
     step = np.arange(4)[:, None]
-    columns, rows = np.clip(bx + step, 0, g.width - 1), np.clip(by + step, 0, g.height - 1) - lo
-    wx, wy = cubic(step - 1.0 - fx), cubic(step - 1.0 - fy)
+    columns, wanted = np.clip(bx + step, 0, g.width - 1), np.clip(by + step, 0, g.height - 1)
+    rows = np.minimum(np.searchsorted(numbers, wanted), len(numbers) - 1)
+    wx, wy = cubic(step - 1.0 - fx), cubic(step - 1.0 - fy) * (numbers[rows] == wanted)
     across, down = ((w[0] + w[1]) + w[2] + w[3] for w in (wx, wy))
+    down = np.where(down == 0, 1.0, down)
     out = []
     for band in planes:
         v = band[rows[:, None, :], columns[None, :, :]]
@@ -99,7 +104,7 @@ def warp_line(y: int, lo: int, planes: list[np.ndarray], g: Geometry, lens: tupl
 
 
 def asked_lines(frames: DataFrame, g: Geometry) -> DataFrame:
-    """Columns of frames (frame_lens, six coefficients, among them), to_line, lo, line_no: which source lines each output line needs."""
+    """Columns of frames (frame_lens, six coefficients, among them), to_line, line_no: which source lines each output line needs, its own among them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,7 +115,7 @@ def asked_lines(frames: DataFrame, g: Geometry) -> DataFrame:
 
     rows = frames.withColumn("to_line", F.explode(F.sequence(F.lit(0), F.lit(g.height - 1))))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(ask, f"{schema}, lo int, hi int").withColumn("line_no", F.explode(F.sequence("lo", "hi"))).drop("hi")
+    return rows.mapInArrow(ask, f"{schema}, lo int, hi int").withColumn("line_no", F.explode(F.array_union(F.sequence("lo", "hi"), F.array("to_line")))).drop("lo", "hi")
 
 
 def warp_lines(lines: DataFrame, planes: list[str], lens: Column | list[float], g: Geometry, frames: DataFrame | None = None) -> DataFrame:
@@ -118,7 +123,7 @@ def warp_lines(lines: DataFrame, planes: list[str], lens: Column | list[float],
 
     lens: six coefficients (four radial, two tangential) that hold for all frames, or a column of lines with those of the line's frame, null for
     frames that stay as they are; frames (frame_id, frame_lens) then lists those that are warped. All planes are read from one band.
-    No tap and no pixel is a row, and lines are read once.
+    No tap and no pixel is a row, and lines are read once. Frames may lack lines (see warp_line).
     """
     kept = [c for c in lines.columns if c not in ("frame_id", "y", *planes)]
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
@@ -130,20 +135,20 @@ def warp_lines(lines: DataFrame, planes: list[str], lens: Column | list[float],
         both = lines.withColumn("stays", lens.isNull()).join(asked, (F.col("frame_id") == F.col("of_frame")) & (F.col("y") == F.col("line_no")), "left")
         both = both.where("stays OR to_line IS NOT NULL")
     both = both.select(
-        "frame_id", F.coalesce("to_line", "y").cast(kinds["y"]).alias("to_line"), F.coalesce("lo", "y").alias("lo"), "frame_lens", F.struct(F.col("y").alias("line_no"), *planes).alias("line"),
+        "frame_id", F.coalesce("to_line", "y").cast(kinds["y"]).alias("to_line"), "frame_lens", F.struct(F.col("y").alias("line_no"), *planes).alias("line"),
         F.struct(F.lit(0), *kept).alias("kept"), (F.col("y") == F.coalesce("to_line", "y")).alias("own"),
     )
-    # what passes through is the same on all lines of a frame or belongs to the line of the same number
-    grouped = both.groupBy("frame_id", F.col("to_line").alias("y")).agg(F.first("frame_lens").alias("frame_lens"), F.first("lo").alias("lo"), F.array_sort(F.collect_list("line")).alias("band"), F.max_by("kept", "own").alias("kept"))
-    bands = grouped.select("frame_id", "y", "frame_lens", "lo", *[F.col(f"band.{p}").alias(p) for p in planes], *[F.col(f"kept.{k}").alias(k) for k in kept])
+    # what passes through is that of the line of the same number; a line that the frame lacks is not made
+    grouped = both.groupBy("frame_id", F.col("to_line").alias("y")).agg(F.first("frame_lens").alias("frame_lens"), F.array_sort(F.collect_list("line")).alias("band"), F.max_by("kept", "own").alias("kept"), F.bool_or("own").alias("own")).where("own")
+    bands = grouped.select("frame_id", "y", "frame_lens", F.col("band.line_no").alias("numbers"), *[F.col(f"band.{p}").alias(p) for p in planes], *[F.col(f"kept.{k}").alias(k) for k in kept])
 
     def warp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 b = batch.slice(at, 1)
-                y, lo, c = b.column("y")[0].as_py(), b.column("lo")[0].as_py(), b.column("frame_lens")[0].as_py()
+                y, numbers, c = b.column("y")[0].as_py(), b.column("numbers").flatten().to_numpy(), b.column("frame_lens")[0].as_py()
                 band = [b.column(p).flatten().flatten().to_numpy().reshape(-1, g.width) for p in planes]
-                made = [x[0] for x in band] if c is None else warp_line(y, lo, band, g, tuple(c))
+                made = [x[0] for x in band] if c is None else warp_line(y, numbers, band, g, tuple(c))
                 yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("y"), *[pa.array([x], pa.list_(pa.int32())) for x in made], *[b.column(k) for k in kept]], ["frame_id", "y", *planes, *kept])
 
     schema = [f"frame_id {kinds['frame_id']}", f"y {kinds['y']}", *[f"`{p}` array<int>" for p in planes], *[f"`{k}` {kinds[k]}" for k in kept]]

@@ -17,7 +17,7 @@ def frame(seed):
 def brute(planes, ops):
     for kind, c in ops:
         if kind == opcodes.WARP:
-            made = [warp.warp_line(y, 0, list(planes.astype(np.int32)), G, tuple(c)) for y in range(G.height)]
+            made = [warp.warp_line(y, np.arange(G.height), list(planes.astype(np.int32)), G, tuple(c)) for y in range(G.height)]
             planes = np.array([[line[k] for line in made] for k in range(2)])
         elif kind == opcodes.POLYNOMIAL:
             x = planes / 65535.0
@@ -61,7 +61,14 @@ def test_no_lists(spark):
 
 def test_identity_and_constant_fields():
     flat = np.full((G.height, G.width), 1234, np.int32)
-    assert all((warp.warp_line(y, 0, [flat], G, tuple(LENS))[0] == 1234).all() for y in range(G.height))
+    assert all((warp.warp_line(y, np.arange(G.height), [flat], G, tuple(LENS))[0] == 1234).all() for y in range(G.height))
+
+
+def test_frames_that_lack_lines(spark):
+    """Only lines that are there come out; a constant field stays constant."""
+    df = spark.createDataFrame([(1, y, [700] * G.width) for y in (0, 1, 2, 7)], "frame_id int, y int, v array<int>")
+    got = {r["y"]: r["v"] for r in warp.warp_lines(df, ["v"], LENS, G).collect()}
+    assert set(got) == {0, 1, 2, 7} and all(set(v) <= {700, 0} for v in got.values()) and got[1] == [700] * G.width
 
 
 def test_planes(spark):
