@@ -4,7 +4,8 @@ import hashlib
 import html as html_lib
 import random
 import re
-from collections import Counter
+import time
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
@@ -394,6 +395,71 @@ def test_mined_rules(spark):
     assert got[1001]["verdict"] == "allow" and got[1002]["mined_confidence"] is None
 
 
+def mined_by_hand(rows, m):
+    """page_id -> (verdict, confidence): every subset of the tokens of an open URL is looked up among all labelled ones."""
+    labelled = [(set(r["tokens"]), r["verdict"]) for r in rows if r["verdict"]]
+    least = -(-len(labelled) * m.min_support // 1)
+    held = defaultdict(int)
+    for k, (tokens, _) in enumerate(labelled):
+        for t in tokens:
+            held[t] |= 1 << k
+    blocks = sum(1 << k for k, (_, v) in enumerate(labelled) if v == "block")
+    out = {}
+    for r in rows:
+        if r["verdict"]:
+            continue
+        best = None
+        sets = [((), (1 << len(labelled)) - 1)]
+        for t in r["tokens"]:
+            sets += [((*s, t), both) for s, at in sets if (both := at & held[t]).bit_count() >= least]
+        for s, at in sets[1:]:
+            for verdict, hits in (("block", at & blocks), ("allow", at & ~blocks)):
+                share = hits.bit_count() / at.bit_count()
+                if hits.bit_count() >= least and share >= m.min_confidence:
+                    best = max(best or (0, 0, False, ""), (share, hits.bit_count(), verdict == "block", verdict))
+        out[r["page_id"]] = (best[3], best[0]) if best else ("allow", None)
+    return out
+
+
+def tokens_and_labels(pages):
+    rule, verdict = url_rules.decided(url_rules.RULES)
+    read = pages.select("page_id", "url", url_rules.host_of(F.col("url")).alias("host"), url_rules.path_of(F.col("url")).alias("path"))
+    return read.select("page_id", verdict.alias("verdict"), url_rules.tokens_of(F.col("url")).alias("tokens")).collect()
+
+
+@pytest.mark.parametrize("support,confidence", [(0.01, 0.8), (0.03, 0.55)])
+def test_mined_verdicts_by_hand(spark, support, confidence):
+    """All verdicts on the pages of sf0.01 that the rule list leaves open."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    m = url_rules.Mining(min_support=support, min_confidence=confidence)
+    want = mined_by_hand(tokens_and_labels(pages), m)
+    got = {r["page_id"]: (r["verdict"], r["mined_confidence"]) for r in url_rules.judge(pages, mining=m).collect()}
+    assert len(want) > 100 and {i: got[i] for i in want} == want
+
+
+def test_mixed_rules_by_hand(spark):
+    """Combinations whose tokens go with both labels, tokens that always stand together, and ties."""
+    rng = random.Random(9)
+    words = [f"w{c}" for c in "abcdefg"]
+    rows = [(i, f"http://s{'xyz'[rng.randrange(3)]}.com/{rng.choice(['fr', 'de'])}/" + "/".join(["one", "two"] * rng.randrange(2) + rng.sample(words, rng.randrange(5)))) for i in range(120)]
+    rows += [(1000 + i, f"http://s{'xyz'[rng.randrange(3)]}.net/q/" + "/".join(rng.sample(["one", "two", "fr", *words], rng.randrange(6)))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(5)
+    for m in (url_rules.Mining(0.05, 0.6), url_rules.Mining(0.1, 0.5), url_rules.Mining(0.05, 0.6, max_broadcast_rules=0)):
+        want = mined_by_hand(tokens_and_labels(pages), m)
+        got = {r["page_id"]: (r["verdict"], r["mined_confidence"]) for r in url_rules.judge(pages, mining=m).collect()}
+        assert {i: got[i] for i in want} == want and len({v for v in want.values()}) > 3
+
+
+def test_many_common_tokens(spark):
+    """25 path words that all URLs of a site share, under one label and under both: 2^25 subsets if each were mined."""
+    common = "/".join(f"part{'abcdefghijklmnopqrstuvwxyz'[k]}" for k in range(25))
+    rows = [(i, f"http://site.com/{'de' if i % 3 else 'fr'}/{common}/{'x' if i % 2 else 'y'}") for i in range(60)] + [(60 + i, f"http://own.com/de/{common.upper()}Q") for i in range(9)]
+    rows += [(100, f"http://other.net/{common}/x"), (101, "http://other.net/partc")]
+    start = time.monotonic()
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), mining=url_rules.Mining(min_confidence=0.6)).collect()}
+    assert got[100] == got[101] == "block" and len(got) == len(rows) and time.monotonic() - start < 60
+
+
 def test_pipeline(spark, docs, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     columns, now = docs.columns, docs
