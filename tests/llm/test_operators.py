@@ -376,6 +376,86 @@ def test_html_elements_apart():
     assert read(f"<article><p>{long}</p></article>") == [long]
 
 
+WORDS = "this sentence has some words that a reader of the page would like to see in the text of the article".split()
+
+
+def some_words(n, first):
+    return " ".join([first, *(WORDS[k % len(WORDS)] for k in range(n - 1))])
+
+
+def test_html_tree_on_its_table():
+    table, tree = html_text.labelled_table(), html_text.trained_tree()
+    right = sum(html_text.classify(tree, list(r[:-1])) == bool(r[-1]) for r in table)
+    assert len(table) > 200 and right / len(table) > 0.96
+
+
+def test_html_apart_from_the_article():
+    """Comments, related stories, adverts and menus go by their names, whatever other words or articles are in them."""
+    tree = html_text.trained_tree()
+    read = lambda body: html_text.main_text(f"<html><body>{body}</body></html>", tree).split("\n\n")
+    one, two, other = some_words(24, "First"), some_words(31, "Second"), some_words(20, "Other")
+    article = f"<article><p>{one}</p><p>{two}</p></article>"
+    for apart in (
+        f"<div class='post-comments'><p>{other}</p></div>",
+        f"<section class='comment-content'><p>{other}</p></section>",
+        f"<div class='story-related'><p>{other}</p></div>",
+        f"<div class='relatedPosts'><article><p>{other}</p></article></div>",
+        f"<div class='ad-container'><p>{other}</p></div>",
+        f"<div id='comments'><article class='comment-body'><p>{other}</p></article></div>",
+        f"<ol class='commentlist'><li><article><p>{other}</p></article></ol>",
+        f"<div class='main-sidebar'><p>{other}</p></div>",
+        f"<div class='page-footer'><p>{other}</p></div>",
+        f"<div class='notice'><p>{other}</p></div>",
+        "<div><a href='/'>Home</a></div><div><a href='/n'>News</a></div><div><a href='/a'>About us</a></div>",
+        "<ul><li><a href='/'>Home</a><li><a href='/n'>News</a><li><a href='/a'>About us</a></ul>",
+    ):
+        assert read(apart + article) == [one, two] and read(article + apart) == [one, two], apart
+        if "<article" not in apart and "href" not in apart and "notice" not in apart:
+            assert read(f"<article><p>{one}</p>{apart}<p>{two}</p></article>") == [one, two], apart
+    assert read(f"<div class='has-sidebar with-comments'>{article}</div>") == read(f"<form>{article}</form>") == [one, two]
+    assert read(f"<div class='no-sidebar'><p>{one}</p><p>{two}</p></div>") == [one, two]
+
+
+def test_html_short_parts_of_an_article():
+    tree = html_text.trained_tree()
+    read = lambda body: html_text.main_text(f"<html><body>{body}</body></html>", tree).split("\n\n")
+    menu = "<div><a href='/'>Home</a></div><div><a href='/n'>News</a></div>"
+    one, linked = some_words(24, "First"), some_words(9, "Linked")
+    for short in ("It was a very good day.", "Yes.", "No, never."):
+        assert read(f"<article><p>{one}</p><p>{short}</p></article>{menu}") == [one, short]
+        assert read(f"{menu}<article><p>{short}</p><p>{one}</p></article>") == [short, one]
+        assert read(f"<article><p>{short}</p><p>{short}</p></article>") == [short, short]
+    assert read(f"<article><p>{one}</p><p><a href='/x'>{linked}</a></p></article>{menu}") == [one, linked]
+    assert read(f"<article><p>{one}</p><p class='notice'>{linked}</p></article>") == [one, linked]
+
+
+TEMPLATES = [
+    "<div class='main'><ul><li><a>Home</a><li><a>World</a><li><a>About us</a></ul>{}<p class='copyright'>By us</p></div>",
+    "<ul><li><a>Home</a><li><a>World</a><li><a>About us</a></ul><div id='content'>{}</div><div id='footer'><p>All rights reserved by the owner of this site</p></div>",
+    "<div><a>Home</a></div><div><a>News</a></div><div><a>Sport</a></div><div><a>About us</a></div>{}<div><a>Terms</a></div><div><a>Privacy</a></div>",
+    "<main>{}</main><div class='related'><h3>Read more</h3><p>Another story that readers of this one have liked very much</p></div>",
+    "<div class='topnav navbar'><p>Menu</p></div><div class='entry-content'>{}</div><div id='comments'><h3>Two comments</h3><p>I liked this very much and will read all of it again</p></div>",
+    "<table><tr><td><a>Home</a><td><a>Archive</a><td><a>Contact</a></table><div>{}</div>",
+    "<header><h1>The Daily Page</h1><p>News of every day since nineteen hundred and one</p></header><section>{}</section><footer><p>Made by us</p></footer>",
+    "<div role='banner'><p>The Page of the Day</p></div><div role='main'>{}</div><div role='contentinfo'><p>Contact us by mail</p></div>",
+    "<div class='cookie-consent'><p>We use cookies so that this site works well for each of our readers</p></div>{}<aside><p>At the side of the page stands this story</p></aside>",
+    "<form><p>Search the site</p><input></form><div class='post'>{}</div><div class='sidebar'><p>An author who writes here each day of the week</p></div>",
+    "<dialog><p>Sign up for the letter of the week and miss nothing</p></dialog><div>{}</div><ul><li><a>Privacy policy</a><li><a>Terms of use</a><li><a>Our team</a></ul>",
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_html_pages_without_article(template):
+    """What stands in the place of {} is the text, block by block, and nothing else of the page is."""
+    tree = html_text.trained_tree()
+    rng = random.Random(3)
+    for _ in range(25):
+        want = [some_words(rng.randrange(4, 10), "Title"), *(some_words(rng.choice([8, 12, 20, 45, 80]), f"P{k}") for k in range(rng.randrange(2, 7)))]
+        body = f"<h1>{want[0]}</h1>" + "".join(f"<p>{p}</p>" for p in want[1:])
+        page = "<html><body>" + template.replace("<a>", "<a href='/x'>").format(body) + "</body></html>"
+        assert html_text.main_text(page, tree).split("\n\n") == want
+
+
 def test_url_rules(spark, sf_dir):
     rows = url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
