@@ -12,7 +12,7 @@ import html
 import itertools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +122,7 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i img ins
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ASIDE_TAGS = set("nav footer aside dialog menu button fieldset".split())
+TELLING = ASIDE_TAGS | {"article", "main", "form", "header"}
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 # Words of a class or id. Readers' comments, adverts and links to other pages are never main text; parts of the layout may
 # hold the article; notices are main text inside an article only; the last speak for the main text.
@@ -144,7 +145,7 @@ _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(slots=True)
 class Open:
     """An element that is open. apart: it and what it holds is no main text; layout: a part of the layout by its tag, class or
     id, which the outermost article or main element inside overrules; inside: in such an element; notice, main: by class or
@@ -165,7 +166,9 @@ class Open:
 
 
 def _opened(tag: str, attributes: str, outer: Open) -> Open:
-    o = replace(outer, tag=tag)
+    o = Open(tag, outer.apart, outer.layout, outer.notice, outer.main, outer.article, outer.inside, outer.header)
+    if not attributes and tag not in TELLING:
+        return o
     if tag in ("article", "main"):
         o.layout, o.inside = o.layout and o.inside, True
     o.apart |= tag in ASIDE_TAGS
@@ -173,7 +176,7 @@ def _opened(tag: str, attributes: str, outer: Open) -> Open:
     o.article |= tag == "article"
     o.main |= tag in ("article", "main")
     header = tag == "header"
-    for m in _NAMED.finditer(attributes) if attributes else ():
+    for m in _NAMED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             roles = set(value.lower().split())
@@ -195,7 +198,7 @@ def _opened(tag: str, attributes: str, outer: Open) -> Open:
                 header |= ("header" in parts or "masthead" in parts) and not parts & FRAME_WORDS and tag not in ("article", "main")
     if header:
         o.header, o.apart = True, o.apart or not o.inside
-    o.apart |= bool(attributes and _HIDDEN.search(attributes))
+    o.apart |= bool(_HIDDEN.search(attributes))
     return o
 
 
@@ -218,11 +221,13 @@ def blocks(page: str) -> list[Block]:
         return " ".join(html.unescape("".join(parts)).split())
 
     def close_block() -> None:
+        if not texts and not apart:
+            return
         if text := cleaned(texts):
             # the block's own element is the innermost open one that is not inline
             top = next(o for o in reversed(stack) if o.tag not in INLINE)
             heading = any(o.tag in HEADINGS for o in stack)
-            share = min(1.0, len(cleaned(linked).split()) / len(text.split()))
+            share = min(1.0, len(cleaned(linked).split()) / len(text.split())) if linked else 0.0
             out.append((text, share, top.aside or (top.header and not heading), top.notice, top.main, top.article, heading))
         if text := cleaned(apart):
             out.append((text, 0.0, True, False, False, stack[-1].article, False))
