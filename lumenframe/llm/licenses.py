@@ -67,11 +67,12 @@ def template_grams(spark: SparkSession, phrases: list, notices: list) -> DataFra
 def scan(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTICES, slack: int = 2, min_cover: float = 0.75) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs.
 
-    slack: diagonals at most so far apart are merged. min_cover: share of a notice's 2-grams that a span
+    slack: diagonals at most so far apart are merged, or a quarter of the notice's 2-grams where that is more. min_cover: share of a notice's 2-grams that a span
     must hold. A null or empty text has no words, no places, empty label strings and score 0. Repeated
     rows are scanned each for itself, as is a null doc_id; an empty table gives no rows. Columns other than
     doc_id and text are ignored. The broadcast side is the template table, whose size is fixed by the lists.
     """
+    bands = sorted({max(slack, (len(re.findall(r"[0-9a-z]+", text)) - 1) // 4) for text, _ in notices})
     templates = F.broadcast(template_grams(docs.sparkSession, phrases, notices))
     keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
     bound = F.transform(
@@ -85,14 +86,17 @@ def scan(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTICES, slac
         hits.groupBy("row", "template", "label", "exact", "grams", (F.col("pos") - F.col("at")).alias("diagonal"))
         .agg(F.first("doc_id").alias("doc_id"), F.collect_set("at").alias("ats"), F.count("*").alias("votes"))
     )
-    by_template = Window.partitionBy("row", "template").orderBy("diagonal")
-    opens = F.coalesce((F.col("diagonal") - F.col("previous") > slack) | F.col("exact"), F.lit(True))
+    # A span is a band of neighbouring diagonals from one that has votes; its 2-grams then stand in the template's order, but for words
+    # put in or left out, and it is longer than the template by the width of the band at most.
+    near = [Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, width) for width in bands]
+    in_band = F.lit(0)
+    for width, window in zip(bands, near, strict=True):
+        in_band = F.when(F.col("band") == width, F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(window))))).otherwise(in_band)
     spans = (
-        diagonals.withColumn("previous", F.lag("diagonal").over(by_template))
-        .withColumn("span", F.sum(opens.cast("int")).over(by_template))
-        .groupBy("row", "template", "label", "exact", "grams", "span")
-        .agg(F.first("doc_id").alias("doc_id"), F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"))
+        diagonals.withColumn("band", F.greatest(F.lit(slack), F.floor(F.col("grams") / 4)).cast("int"))
+        .withColumn("covered", F.when(F.col("exact") | (F.col("template") < 0), F.size("ats")).otherwise(in_band))
         .withColumn("cover", F.when(F.col("template") >= 0, F.col("covered") / F.col("grams")).otherwise(0.0))
+        .withColumnRenamed("diagonal", "start")
     )
     base = F.col("exact") & (F.col("covered") == F.col("grams"))
     found = base | (~F.col("exact") & (F.col("template") >= 0) & (F.col("cover") >= min_cover))
