@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import by_place, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,17 +96,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all columns, that the mix takes words of; beside them size, source_size, target, taken."""
+    """The rows of docs, with all columns, that the mix takes words of; beside them size, source_size, target, taken.
+
+    Columns of docs with one of those four names give way to the new; others may have any name. Null doc_ids, texts and sources are
+    as in mix; a row of no words is left out. Repeated rows share what they were given, rounded down for each.
+    """
+    new = ("size", "source_size", "target", "taken")
+    given = [c for c in docs.columns if c not in new]
+    docs = by_place(docs.select(*[F.col(f"`{c}`") for c in given]), ("doc_id", "text", "source"))
     rows = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("__body"))
     plan = mix(rows, carry=("__body",), **options).where("taken > 0")
     plan = plan.groupBy(F.col("doc_id").alias("__id"), "__body", F.col("source").alias("__source")).agg(
         F.struct(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("rows")).alias("__mix")
     )
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__body")) & F.col("source").eqNullSafe(F.col("__source"))
-    new = ("size", "source_size", "target", "taken")
     # repeated rows share what they were given
     taken = (F.col("__mix.taken") / F.col("__mix.rows")).cast("long").alias("taken")
-    return docs.join(plan, same).select(*[c for c in docs.columns if c not in new], *[F.col(f"__mix.{c}").alias(c) for c in new[:3]], taken)
+    return docs.join(plan, same).select(*docs.columns, *[F.col(f"__mix.{c}").alias(c) for c in new[:3]], taken).toDF(*given, *new)
 
 
 ORACLE = """

@@ -57,4 +57,10 @@ def may_hold(bitmap: DataFrame, id_: str, bits: int = 23) -> Column:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id and text (by its hash, body) are in gone."""
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("body").alias("__gone_body"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_body")), "left_anti")
+    named = by_place(docs, ("doc_id", "text"))
+    return named.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_body")), "left_anti").toDF(*docs.columns)
+
+
+def by_place(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """rows with all columns but those of keep named by their places, so that no name of theirs meets a new column."""
+    return rows.toDF(*[c if c in keep else f"at_{k}" for k, c in enumerate(rows.columns)])

@@ -328,6 +328,37 @@ def test_license_base(docs):
     assert got[-3]["labels"] == "mit" and got[-3]["n_base"] == 0
 
 
+def test_license_spans(spark):
+    """A notice is found with words put in, left out or changed, and at its place; not when its word pairs lie scattered."""
+    notice = licenses.NOTICES[5][0].split()
+    pairs = [f"{a} {b}" for a, b in zip(notice, notice[1:], strict=False)]
+    texts = {
+        "whole": "x " * 50 + " ".join(notice) + " y" * 50,
+        "put in": " ".join([*notice[:8], "and", "also", *notice[8:]]),
+        "left out": " ".join(notice[:6] + notice[8:]),
+        "changed": " ".join([*notice[:5], "other", *notice[6:]]),
+        "twice": " ".join([*notice, "and then again", *notice]),
+        "filler": " filler ".join(pairs),
+        "mixed up": " ".join(sorted(pairs)),
+        "half": " ".join(notice[: len(notice) // 2]),
+        "apart": " ".join(notice[:10] + ["word"] * 40 + notice[10:]),
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert {k for k, r in got.items() if r["labels"] == "bsd"} == {"whole", "put in", "left out", "changed", "twice"}
+    assert got["whole"]["score"] == 1.0 and got["filler"]["score"] == 0.0 and {k: r["n_words"] for k, r in got.items()} == {k: len(t.split()) for k, t in texts.items()}
+
+
+def test_clashing_names(spark):
+    """Columns of docs may have any name, those of inner columns included."""
+    names = ["__lines", "__body", "__id", "__mix", "__source", "size", "taken", "row", "body", "__in_0"]
+    rows = [(k, t, "s", *[f"{n}{k}" for n in names]) for k, t in enumerate(["one two three four five six\nseven", "one two three four five six\neight", "nine"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = {r["doc_id"]: r for r in line_dedup.deduplicate(docs, min_words=1, max_distance=None).collect()}
+    assert [out[k]["text"] for k in range(3)] == [rows[0][1], "eight", "nine"] and all(tuple(out[k])[2:] == rows[k][2:] for k in range(3))
+    mixed = {r["doc_id"]: r.asDict() for r in mixing.mixture(docs).collect()}
+    assert {k: r["taken"] for k, r in mixed.items()} == {0: 7, 1: 7, 2: 1} and all(r[n] == f"{n}{k}" for k, r in mixed.items() for n in names if n not in ("size", "taken"))
+
+
 def test_language_id(docs):
     found = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").withColumn("held", langid.is_held_out(F.col("doc_id"))).where("held")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
