@@ -108,7 +108,7 @@ def q_render_yuv420_scaled(spark, d):
 
 
 def six_by_six_linear(spark, d) -> DataFrame:
-    dem = stencil.mosaic_average(stencil.scan_lines(pixels(spark, d)), im.SIX_BY_SIX)
+    dem = stencil.mosaic_average(stencil.scan_lines(pixels(spark, d)), im.SIX_BY_SIX, HEIGHT)
     return dem.select("frame_id", "y", "x", *[(F.col(c) / 65535.0).alias(c) for c in "rgb"])
 
 
