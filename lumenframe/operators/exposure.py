@@ -101,8 +101,12 @@ def solved(frames: DataFrame, chain: Chain) -> DataFrame:
         bad = ~F.coalesce(holds, F.lit(False))
         status, reason = F.when(bad, name).otherwise(status), F.when(bad, said).otherwise(reason)
     judged = px.apart(frames.withColumns({"status": status, "reason": reason}))
-    judged = px.apart(judged.withColumns({"at_none": F.when(F.col("status") == "ok", peak(F.lit(0.0))), "at_most": F.when(F.col("status") == "ok", peak(F.lit(MOST_EV)))}))
+    # frames with the same highlights have the same exposure, which is sought once
+    colours = px.apart(judged.where("status = 'ok'").select("h").distinct())
+    colours = px.apart(colours.withColumns({"at_none": peak(F.lit(0.0)), "at_most": peak(F.lit(MOST_EV))}))
     between = metrics.bisected(peak, 0.0, MOST_EV, STEPS)
-    ev = F.when(F.col("status") != "ok", 0.0).when(F.col("at_none") >= 1.0, 0.0).when(F.col("at_most") < 1.0, MOST_EV).otherwise(between)
-    said = F.when((F.col("status") == "ok") & (F.col("at_none") >= 1.0), "already at white, no gain").otherwise(F.col("reason"))
-    return judged.withColumn("ev", ev).withColumn("reason", said).drop("at_none", "at_most")
+    sought = F.when(F.col("at_none") >= 1.0, 0.0).when(F.col("at_most") < 1.0, MOST_EV).otherwise(between)
+    found = px.apart(colours.select(F.col("h").alias("of_h"), "at_none", sought.alias("ev")))
+    both = judged.join(found, (F.col("status") == "ok") & (F.col("h") == F.col("of_h")), "left")
+    said = F.when(F.col("at_none") >= 1.0, "already at white, no gain").otherwise(F.col("reason"))
+    return both.select(*[c for c in judged.columns if c != "reason"], said.alias("reason"), F.coalesce("ev", F.lit(0.0)).alias("ev"))
