@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 PIXEL_LIMIT = 1 << 28
 
 
+def dealt(rows: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
+    """rows dealt out by keys to as many tasks as leave each about `most` rows, so that a task's memory does not grow with the table."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // most)), *keys)
+
+
 def coalesce_jobs(jobs: DataFrame, keys: list[str], order: str, flight: int) -> DataFrame:
     """keys, run, first_seq, joined, generation: a job joins the one in flight with the same key.
 
@@ -16,7 +22,7 @@ def coalesce_jobs(jobs: DataFrame, keys: list[str], order: str, flight: int) ->
     generation is the largest that joined.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    runs = jobs.withColumn("__new", F.coalesce(F.col(order) - F.lag(order).over(w) > flight, F.lit(True)).cast("long"))
+    runs = dealt(jobs.select(*keys, order, "generation"), keys).withColumn("__new", F.coalesce(F.col(order) - F.lag(order).over(w) > flight, F.lit(True)).cast("long"))
     runs = runs.withColumn("run", F.sum("__new").over(w))
     return runs.groupBy(*keys, "run").agg(F.min(order).alias("first_seq"), F.count("*").alias("joined"), F.max("generation").alias("generation"))
 
