@@ -57,14 +57,15 @@ def classify_names(names: DataFrame, key: str, allowed: list[str], prefixes: lis
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """root, node of all nodes that edges (src, dst) lead to from roots (root), roots included.
 
-    Breadth first: each round joins the newest nodes only and is cut from its lineage, so plans stay small.
+    Breadth first: each round joins the newest nodes only and is cut from its lineage, so plans stay small. Joins are merges: many rounds of
+    broadcasts would pass through the driver.
     """
     work_folder(roots.sparkSession)
     seen = roots.select("root", F.col("root").alias("node")).distinct()
     newest = seen
     for _ in range(max_rounds):
-        step = newest.join(edges, newest["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        newest = step.join(seen, ["root", "node"], "left_anti").checkpoint()
+        step = newest.join(edges.hint("merge"), newest["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+        newest = step.join(seen.hint("merge"), ["root", "node"], "left_anti").checkpoint()
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest).checkpoint()
