@@ -68,7 +68,7 @@ def q_coalesce_five(spark, d):
 
 @query(f"WITH {FLIGHTS}")
 def q_stream_coalesce(spark, d):
-    """The same as a stream, with state and timers, closed by an event behind all others."""
+    """The same as a stream of sessions, closed by an event behind all others."""
     folder, live = work_folder(spark), _flights_of(_stream(spark, d, "events"))
     end = spark.createDataFrame([(10**14, None, None, None, None, None, 0)], "seq long, type string, path long, max_dim long, orientation int, format string, generation long")
     live, close = flights.closed(live, end, folder)

@@ -1,20 +1,18 @@
-"""Job flights as a stream: equal jobs join the one in flight, and timers close a flight once its quiet gap has passed."""
+"""Job flights as a stream: equal jobs join the one in flight, and the watermark closes a flight once its quiet gap has passed."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def merged(flights: list[tuple[int, int, int, int]], gap: int) -> list[tuple[int, int, int, int]]:
-    """Flights (first, last, joined, generation) that are at most gap apart become one."""
+    """Flights (first, last, joined, generation) that are at most gap apart become one: what coalesced() does, on a list."""
     out: list[tuple[int, int, int, int]] = []
     for f in sorted(flights):
         if out and f[0] - out[-1][1] <= gap:
@@ -25,55 +23,17 @@ def merged(flights: list[tuple[int, int, int, int]], gap: int) -> list[tuple[int
     return out
 
 
-class Flights(StatefulProcessor):
-    """State of a key: its open flights, a few numbers each. Jobs may come in any order inside the watermark's delay; one between two
-    flights makes them one. A timer behind a flight's last job plus the gap emits it, if nothing has joined since."""
-
-    def __init__(self, gap: int) -> None:
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, joined long, generation long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        flights = list(map(tuple, self.open.get()))
-        for r in rows:
-            flights.append((r["seq"], r["seq"], 1, r["generation"]))
-            if len(flights) > 1000:  # a long batch of one key is not held
-                flights = merged(flights, self.gap)
-        flights = merged(flights, self.gap)
-        self.open.put(flights)
-        for f in flights:
-            self.handle.registerTimer(f[1] + self.gap + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now, flights = expiredTimerInfo.getExpiryTimeInMs(), list(map(tuple, self.open.get()))
-        over, rest = [f for f in flights if f[1] + self.gap < now], [f for f in flights if f[1] + self.gap >= now]
-        if over:
-            if rest:
-                self.open.put(rest)
-            else:
-                self.open.clear()
-        names = {f"key{k}": v for k, v in enumerate(key)}
-        return iter([Row(**names, first_seq=f[0], joined=f[2], generation=f[3]) for f in over])
-
-    def close(self) -> None:
-        pass
-
-
 def coalesced(jobs: DataFrame, keys: list[str], gap: int, late: str) -> DataFrame:
     """keys, first_seq, joined, generation of a stream of jobs (keys, seq, generation); seq is the event time in milliseconds.
 
-    A flight comes out once the watermark, late behind the newest job, has passed its last job by more than gap. A null key is a key. The
-    session's state store must be RocksDB (see with_store).
+    A flight is a session of its key: a few numbers in the state, whatever joins it. Jobs may come in any order inside the watermark's delay;
+    one between two flights makes them one. A flight comes out once the watermark, late behind the newest job, has passed its last job by
+    more than gap. A null key is a key.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in jobs.schema.fields}
     timed = jobs.select(*keys, "seq", "generation", F.timestamp_millis("seq").alias("at")).withWatermark("at", late)
-    schema = ", ".join(f"key{k} {kinds[c]}" for k, c in enumerate(keys)) + ", first_seq long, joined long, generation long"
-    out = timed.groupBy(*keys).transformWithState(Flights(gap), schema, "append", "EventTime")
-    return out.select(*[F.col(f"key{k}").alias(c) for k, c in enumerate(keys)], "first_seq", "joined", "generation")
+    quiet = F.session_window("at", f"{1000 * gap + 500} microseconds")  # between gap and the next millisecond
+    out = timed.groupBy(*keys, quiet.alias("s")).agg(F.min("seq").alias("first_seq"), F.count("*").alias("joined"), F.max("generation").alias("generation"))
+    return out.select(*keys, "first_seq", "joined", "generation")
 
 
 def cancelled(jobs: DataFrame, cancels: DataFrame, early: str, long: str, late: str) -> DataFrame:
