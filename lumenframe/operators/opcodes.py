@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixel import apart
+from .folders import work_folder
 from .warp import Geometry, warp_lines
 
 # Numbers of the opcodes in the public file format.
@@ -68,6 +69,9 @@ def apply_opcodes(lines: DataFrame, planes: list[str], lists: DataFrame, g: Geom
 
     Frames without a list stay as they are; refused frames have no lines in the result, and lists tells why.
     """
+    # files list opcodes of frames that have no lines here; those are left out before any list is worked on
+    work_folder(lines.sparkSession)
+    lists = lists.join(lines.select("frame_id").distinct(), "frame_id", "left_semi").checkpoint()
     rounds = lists.where("refused IS NULL").agg(F.max(F.size(F.filter("opcodes", lambda o: o["kind"] == WARP)))).first()[0] or 0  # a small number
     listed = lists.select(F.col("frame_id").alias("list_of"), F.col("opcodes").alias("__ops"), "refused")
     rows = lines.join(listed, F.col("frame_id") == F.col("list_of"), "left").where("refused IS NULL").drop("list_of", "refused")
