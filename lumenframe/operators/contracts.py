@@ -162,9 +162,14 @@ def bends(curves: DataFrame, key: str, index: str, value: str) -> DataFrame:
 
 
 def opcode_order(opcodes: DataFrame) -> DataFrame:
-    """frame_id, plan: the handlers of a frame's opcodes in list order, neighbours of one handler merged."""
+    """frame_id, plan: the handlers of a frame's opcodes in list order, neighbours of one handler merged.
+
+    Opcodes without a place come last, as in SQL. Those of equal places are ordered by handler, both where neighbours are merged and where
+    they are listed: either order alone could part neighbours that the other has merged.
+    """
     handler = F.when(F.col("opcode") == 1, "warp").when(F.col("opcode") == 8, "polynomial").otherwise("other")
-    w = Window.partitionBy("frame_id").orderBy("place")
+    w = Window.partitionBy("frame_id").orderBy(F.asc_nulls_last("place"), "handler")
     marked = opcodes.withColumn("handler", handler).withColumn("before", F.lag("handler").over(w))
     runs = marked.where("before IS NULL OR before != handler OR handler = 'warp'")
-    return runs.groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "handler"))), lambda s: s["handler"]), ">").alias("plan"))
+    listed = F.array_sort(F.collect_list(F.struct(F.isnull("place").alias("last"), "place", "handler")))
+    return runs.groupBy("frame_id").agg(F.array_join(F.transform(listed, lambda s: s["handler"]), ">").alias("plan"))
